@@ -22,7 +22,7 @@ _L = "A-Za-z0-9._%+-"
 #: kind → (a quick test for what every match holds, linear pattern)
 PATTERNS: dict[str, tuple[str, str]] = {
     "email": ("@", rf"(?:\G|(?<![{_L}]))[{_L}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": (".", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "ip": ("", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("", r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": ("", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"),
@@ -101,7 +101,7 @@ def find(text: Column, kind: str) -> Column:
     )["spans"]
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
-    likely = text.rlike({"card": r"[0-9](?:[\x20-]?[0-9]){12}", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"}[kind]) if not test else F.contains(text, F.lit(test))
+    likely = text.rlike({"ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"}[kind]) if not test else F.contains(text, F.lit(test))
     return F.when(likely, found).otherwise(none)
 
 
