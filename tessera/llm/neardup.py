@@ -7,8 +7,9 @@
    (At similarity 0.8 a pair shares none with probability 2e-5.)
 3. Round one confirms, for each key, the pairs of its smallest id with the others: of a group of thousands of near copies that is one pair each.
    Confirmed links give components. Round two takes only keys that still hold several components, and confirms all pairs across them whose
-   signatures are near: no link between components is lost, and no group is expanded into all its pairs once it is connected.
-4. Confirmation compares the full sets of 64-bit shingle hashes; texts are read again only for documents that are in some pair.
+   finer sketches (``SKETCH`` min-hashes of 4 bits; a pair at the threshold passes but for 1e-5) are near: no link between components is lost, and
+   no group is expanded into all its pairs once it is connected.
+4. Confirmation compares the full sets of 64-bit shingle hashes; texts are read again only for documents that share a key.
 
 Hot keys: counts per key are partial sums before the shuffle; the join back to the members splits skewed keys (adaptive execution).
 
@@ -18,6 +19,8 @@ with nothing, component_id null, kept; repeated rows: rows of their own that sha
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import chain, combinations
 
 import numpy as np
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.shared import WordHashes, map_arrow, mix64, shingles, split_words, written
 
-SYMBOLS, CHUNKS, ERRORS, SLACK = 40, 8, 1, 21
+SYMBOLS, CHUNKS, ERRORS, SKETCH = 40, 8, 1, 512
 _A = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_B = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _state: dict[str, WordHashes] = {}
 
 
@@ -106,45 +110,76 @@ def _index(reps: DataFrame) -> DataFrame:
     return map_arrow(reps.select("id", "sig"), one, "key long, id long", rows=4096)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those with 100 * intersection >= percent * union, on full sets."""
+def sketch(values: np.ndarray) -> np.ndarray:
+    """``SKETCH`` min-hashes of 4 bits of one non-empty set, 16 to a word: a much finer estimate than the index's signature."""
+    mins = np.empty(SKETCH, dtype=np.uint64)
+    for at in range(0, SKETCH, 32):
+        mins[at : at + 32] = (values[None, :] * _B[at : at + 32, None]).min(axis=1)
+    nibbles = (mix64(mins) >> np.uint64(60)).reshape(-1, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)
+
+
+def sketch_limit(percent: int) -> int:
+    """Differing places that sketches of sets at the threshold exceed with probability 1e-5."""
+    p = (1 - percent / 100) * 15 / 16
+    return math.ceil(SKETCH * p + 4.3 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, set, sketch of the given documents: their texts are read again, and cross the network once."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = _sets(batch.column(1).to_pylist(), width)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
+        words = [sketch(s).tobytes() if len(s) else bytes(SKETCH // 2) for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(words, pa.binary())], names=["id", "set", "sketch"])
+
+    # always hashed, never broadcast: the ids grow with the documents
+    own = docs.join(ids.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    # a repeated id may have several texts; a pair is confirmed if any of them are near
+    return written(map_arrow(own.select("doc_id", "text"), one, "id long, set array<long>, sketch binary", rows=128), "sets")
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # a repeated id may have several texts; the pair's class is tested on each
-    sets = written(map_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), one, "id long, set array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b) those with 100 * intersection >= percent * union, on full sets."""
+    own = sets.select("id", "set")
+    left = own.withColumnsRenamed({"id": "a", "set": "sa"}).join(pairs.select("a").distinct().hint("shuffle_hash"), "a", "left_semi")
+    right = own.withColumnsRenamed({"id": "b", "set": "sb"}).join(pairs.select("b").distinct().hint("shuffle_hash"), "b", "left_semi")
+    both = left.join(pairs.hint("shuffle_hash"), "a").join(right.hint("shuffle_merge"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent).where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b").distinct()
 
 
-def _distance_ok(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _size_ok(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes allow the similarity."""
-    n = reps.select("id", "n_shingles")
+    n = classes.select("id", "n_shingles")
     p = pairs.join(n.withColumnsRenamed({"id": "a", "n_shingles": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n_shingles": "nb"}), "b")
     return p.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
 
-def _across(members: pa.Table) -> pa.Table:
-    """Pairs of one key's members that are in different components and whose signatures are near."""
-    members = members.sort_by("id")
-    ids, comp = members.column("id").to_numpy(), members.column("comp").to_numpy()
-    sig = np.frombuffer(b"".join(members.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
-    n = members.column("n_shingles").to_numpy()
-    a, b = [], []
-    step = max(1, 2_000_000 // (len(ids) * SYMBOLS))
-    for at in range(0, len(ids), step):
-        s = slice(at, at + step)
-        near = (sig[s, None, :] != sig[None, :, :]).sum(axis=2) < SLACK
-        near &= (ids[s, None] < ids[None, :]) & (comp[s, None] != comp[None, :])
-        near &= np.minimum(n[s, None], n[None, :]) * 5 >= np.maximum(n[s, None], n[None, :]) * 3
-        i, j = np.nonzero(near)
-        a.append(ids[s][i])
-        b.append(ids[j])
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+def _across(limit: int) -> Callable[[pa.Table], pa.Table]:
+    """Pairs of one key's members that are in different components and whose sketches are near."""
+    ones = np.uint64(0x1111111111111111)
+
+    def pairs(members: pa.Table) -> pa.Table:
+        members = members.sort_by("id")
+        ids, comp = members.column("id").to_numpy(), members.column("comp").to_numpy()
+        sk = np.frombuffer(b"".join(members.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
+        a, b = [], []
+        step = max(1, 4_000_000 // len(ids))
+        for at in range(0, len(ids), step):
+            s = slice(at, at + step)
+            i, j = np.nonzero((ids[s, None] < ids[None, :]) & (comp[s, None] != comp[None, :]))
+            for k in range(0, len(i), 50_000):
+                x = sk[s][i[k : k + 50_000]] ^ sk[j[k : k + 50_000]]
+                x |= x >> np.uint64(2)
+                x = (x | (x >> np.uint64(1))) & ones
+                near = np.bitwise_count(x).sum(axis=1) <= limit
+                a.append(ids[s][i[k : k + 50_000][near]])
+                b.append(ids[j[k : k + 50_000][near]])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -156,21 +191,36 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = written(classes.select("c1", "c2", "n", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig"), F.col("m.n_shingles").alias("n_shingles")), "classes")
     copies = usable.join(classes.where("n > 1").select("c1", "c2", "id"), ["c1", "c2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
+    # hints keep one plan at every size: none of these sides is bounded, so none is broadcast
     index = written(_index(classes), "index")
-    shared = index.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    members = written(index.join(shared.select("key", "first"), "key").distinct(), "members")
+    shared = index.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
+    members = written(index.join(shared.hint("shuffle_merge"), "key"), "members")
 
-    star = written(_distance_ok(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), classes, percent), "star")
-    links = written(_confirmed(star, docs, width, percent), "links")
+    star = written(_size_ok(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), classes, percent), "star")
+    sets = _full_sets(docs, members.select("id"), width)
+    links = written(_confirmed(star, sets, percent), "links")
     found = components(copies.union(links))
 
     comp = F.coalesce("component", F.col("id"))
     seen = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", comp.alias("comp"))
     open_keys = seen.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = seen.join(open_keys, "key").join(classes.select("id", "sig", "n_shingles"), "id")
-    more = left.groupBy("key").applyInArrow(_across, "a long, b long").distinct()
-    more = written(more.join(star, ["a", "b"], "left_anti"), "more")
+    left = seen.join(open_keys, "key").join(sets.groupBy("id").agg(F.first("sketch").alias("sketch")), "id")
+    more = left.groupBy("key").applyInArrow(_across(sketch_limit(percent)), "a long, b long").distinct()
+    more = written(_size_ok(more.join(star, ["a", "b"], "left_anti"), classes, percent), "more")
     if not more.isEmpty():
-        found = components(copies.union(links).union(written(_confirmed(more, docs, width, percent), "links")))
+        found = components(copies.union(links).union(written(_confirmed(more, sets, percent), "links")))
     component = F.coalesce("component", F.col("doc_id"))
     return rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id, text and any others) without near copies: of each component the document of the smallest id stays.
+
+    Rows without an id or without words stay. Where an id repeats, rows of equal text are copies and one stays.
+    """
+    dropped = near_duplicates(docs, width=width, percent=percent).where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(dropped.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
