@@ -224,3 +224,22 @@ def without_near_copies(docs: DataFrame, *, width: int = 5, percent: int = 80) -
     if again.isEmpty():
         return kept
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+#: DuckDB's form of the query with two words and 0.8: all pairs that share a shingle and whose sizes allow it, then reachability.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM words),
+classes AS (SELECT min(doc_id) AS rep, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT rep, n, unnest(s) AS g FROM classes),
+links AS (
+  SELECT a.rep AS x, b.rep AS y FROM each a JOIN each b ON a.g = b.g AND a.rep < b.rep AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+half AS (SELECT x, y FROM links UNION SELECT rep, doc_id FROM sets JOIN classes USING (s) WHERE rep <> doc_id),
+edges AS (SELECT x, y FROM half UNION SELECT y, x FROM half),
+reach(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT edges.y, reach.comp FROM reach JOIN edges ON reach.node = edges.x),
+comps AS (SELECT node, min(comp) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN comps ON node = doc_id
+"""

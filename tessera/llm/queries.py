@@ -65,5 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_embedding_dedup": vecdup.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_near_dedup": neardup.SQL,
 }

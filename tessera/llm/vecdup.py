@@ -203,3 +203,15 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
         rows.withColumn("part", takes_part).select("vec_id", "part").join(linked, "vec_id", "left").join(nodes, "vec_id", "left")
         .select("vec_id", F.when(F.col("part"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
     )
+
+
+#: DuckDB's form of the query at 0.98: all pairs of a label.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(node, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT edges.y, reach.comp FROM reach JOIN edges ON reach.node = edges.x),
+comps AS (SELECT node, min(comp) AS component_id FROM reach GROUP BY node),
+n AS (SELECT x, count(*) AS n_links FROM edges GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comps ON node = vec_id LEFT JOIN n ON x = vec_id
+"""
