@@ -6,7 +6,6 @@ A profile is a long table (key columns, column, kind, task, about, value) whose
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -189,7 +188,3 @@ def report(profile: DataFrame, keys: Sequence[str] = ()) -> str:
 
 def save_report(profile: DataFrame, path: str) -> None:
     profile.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
-
-
-def is_finite(value: float) -> bool:
-    return math.isfinite(value)
