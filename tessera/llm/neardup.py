@@ -11,7 +11,7 @@
    no group is expanded into all its pairs once it is connected.
 4. Confirmation compares the full sets of 64-bit shingle hashes; texts are read again only for documents that share a key.
 
-Hot keys: counts per key are partial sums before the shuffle; the join back to the members splits skewed keys (adaptive execution).
+Hot keys: a key of more than ``BLOCK`` members in several components is compared block by block; counts per key are partial sums before the shuffle; the join back to the members splits skewed keys (adaptive execution).
 
 Defined cases: null, empty or blank text: n_shingles 0, linked with nothing; fewer words than the width: one shingle; a null id: counted, linked
 with nothing, component_id null, kept; repeated rows: rows of their own that share a component; an empty table: an empty result; other columns are not read.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.shared import WordHashes, map_arrow, mix64, shingles, split_words, written
 
-SYMBOLS, CHUNKS, ERRORS, SKETCH = 40, 8, 1, 512
+SYMBOLS, CHUNKS, ERRORS, SKETCH, BLOCK = 40, 8, 1, 512, 4096
 _A = mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _state: dict[str, WordHashes] = {}
@@ -162,13 +162,15 @@ def _across(limit: int) -> Callable[[pa.Table], pa.Table]:
 
     def pairs(members: pa.Table) -> pa.Table:
         members = members.sort_by("id")
-        ids, comp = members.column("id").to_numpy(), members.column("comp").to_numpy()
+        ids, comp, block = (members.column(c).to_numpy() for c in ("id", "comp", "block"))
+        across = members.column("b1")[0].as_py() != members.column("b2")[0].as_py()
         sk = np.frombuffer(b"".join(members.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
         a, b = [], []
         step = max(1, 4_000_000 // len(ids))
         for at in range(0, len(ids), step):
             s = slice(at, at + step)
-            i, j = np.nonzero((ids[s, None] < ids[None, :]) & (comp[s, None] != comp[None, :]))
+            own = (ids[s, None] < ids[None, :]) & (comp[s, None] != comp[None, :])
+            i, j = np.nonzero(own & (block[s, None] != block[None, :]) if across else own)
             for k in range(0, len(i), 50_000):
                 x = sk[s][i[k : k + 50_000]] ^ sk[j[k : k + 50_000]]
                 x |= x >> np.uint64(2)
@@ -203,9 +205,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     comp = F.coalesce("component", F.col("id"))
     seen = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", comp.alias("comp"))
-    open_keys = seen.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    # a key of more than BLOCK members is cut into blocks, and all pairs of blocks are looked through
+    open_keys = seen.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
     left = seen.join(open_keys, "key").join(sets.groupBy("id").agg(F.first("sketch").alias("sketch")), "id")
-    more = left.groupBy("key").applyInArrow(_across(sketch_limit(percent)), "a long, b long").distinct()
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "id", "comp", "sketch")
+    more = left.groupBy("key", "b1", "b2").applyInArrow(_across(sketch_limit(percent)), "a long, b long").distinct()
     more = written(_size_ok(more.join(star, ["a", "b"], "left_anti"), classes, percent), "more")
     if not more.isEmpty():
         found = components(copies.union(links).union(written(_confirmed(more, sets, percent), "links")))

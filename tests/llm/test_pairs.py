@@ -53,8 +53,9 @@ def sets(text, width):
     return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(docs, width):
+@pytest.mark.parametrize(("width", "block"), [(2, 3), (5, 4096)])
+def test_near_duplicates(docs, monkeypatch, width, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     texts = corpus(random.Random(1))
     s = [sets(t, width) for t in texts]
     links = [(i, j) for i in range(len(s)) for j in range(i) if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j])]
