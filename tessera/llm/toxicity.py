@@ -23,15 +23,20 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import held_out, map_arrow, mix64
 
 STEPS, STRIDE, HIDDEN, WORD_DIM, CHAR_DIM, ATTEND, BUCKETS, GRAMS = 32, 24, 16, 8, 8, 8, 1 << 14, (3, 5)
+CUT = 0.3  # the score that a calibrated network gives at its threshold
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|"
 
 
 def _inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of words; buckets of all their byte n-grams, word after word; where each word's begin."""
+    if len(words) > 8192:  # bounded scratch space
+        parts = [_inputs(words[at : at + 8192]) for at in range(0, len(words), 8192)]
+        shift = np.cumsum([0, *(len(c) for _, c, _ in parts[:-1])])
+        return np.concatenate([w for w, _, _ in parts]), np.concatenate([c for _, c, _ in parts]), np.concatenate([s + k for (_, _, s), k in zip(parts, shift, strict=True)])
     raw = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
     flat = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
     ends = np.cumsum([len(r) for r in raw])
-    of = np.repeat(np.arange(len(raw)), np.diff(ends, prepend=0))
+    of = np.repeat(np.arange(len(raw), dtype=np.int32), np.diff(ends, prepend=0))
     hashes, owner = [], []
     for n in GRAMS:
         if len(flat) < n:
@@ -40,7 +45,7 @@ def _inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for i in range(n):
             h = h * np.uint64(257) + flat[i : i + len(h)]
         inside = of[: len(h)] == of[n - 1 :]
-        hashes.append(h[inside])
+        hashes.append((mix64(h[inside]) & np.uint64(BUCKETS - 1)).astype(np.uint16))
         owner.append(of[: len(h)][inside])
     owner_all, h_all = np.concatenate(owner), np.concatenate(hashes)
     order = np.argsort(owner_all, kind="stable")
@@ -50,7 +55,7 @@ def _inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     powers = np.add.reduceat(mix64(flat * np.uint64(1315423911) + (np.arange(len(flat), dtype=np.uint64) - np.repeat(ends - np.diff(ends, prepend=0), np.diff(ends, prepend=0)).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)), ends - np.diff(ends, prepend=0))
     p += powers
     starts = np.searchsorted(owner_all, np.arange(len(raw)))
-    return (mix64(p) & np.uint64(BUCKETS - 1)).astype(np.int64), (mix64(h_all) & np.uint64(BUCKETS - 1)).astype(np.int64), starts
+    return (mix64(p) & np.uint64(BUCKETS - 1)).astype(np.uint16), h_all, starts
 
 
 def _windows(n: int) -> np.ndarray:
@@ -189,16 +194,20 @@ def train(texts: list[str], labels: list[int], *, epochs: int = 4, least_steps:
     ends = np.append(starts[1:], len(cb))
     net.p["word"][:, 0] = _log_odds([wb[d] for d in t.docs], y) / 3
     net.p["char"][:, 0] = _log_odds([np.concatenate([cb[starts[w] : ends[w]] for w in np.unique(d)]) if len(d) else np.zeros(0, np.int64) for d in t.docs], y) / 3
+    # every seventh document only sets the threshold, if there are enough toxic ones for that
+    aside = (np.arange(len(y)) % 7 == 0) & ((y[::7] == 1).sum() >= 20)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    x0 = net.embed(wb, cb, starts)
-    worst = np.where(ids >= 0, (x0[:, 0] + x0[:, WORD_DIM])[ids], -9).max(axis=1)
+    counts = np.maximum(ends - starts, 1)
+    odds = net.p["word"][wb, 0] + np.add.reduceat(net.p["char"][cb, 0], np.minimum(starts, len(cb) - 1)) / counts
+    worst = np.where(ids >= 0, odds[ids], -9).max(axis=1)
     step = 0
     for again in range(rounds):
         order = np.lexsort((-worst, owner))
         first = np.ones(len(order), bool)
         first[1:] = owner[order][1:] != owner[order][:-1]
         top = order[first]
-        clean = np.flatnonzero(y[owner] == 0)
+        top = top[~aside[owner[top]]]
+        clean = np.flatnonzero((y[owner] == 0) & ~aside[owner])
         pick = np.concatenate([top, rng.choice(clean, min(len(clean), 3 * len(top)), replace=False)])
         for _ in range(max(epochs, least_steps * batch // len(pick))):
             rng.shuffle(pick)
@@ -224,10 +233,43 @@ def train(texts: list[str], labels: list[int], *, epochs: int = 4, least_steps:
                     m1 += 0.1 * (v - m1)
                     m2 += 0.001 * (v * v - m2)
                     net.p[k] -= (rate * 0.5**again * (0.3 if k in ("word", "char") else 1) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        worst = _score_windows(net, t, ids)
+        if again + 1 < rounds:
+            worst = _score_known(net, wb, cb, starts, ids)
+    if aside.any():
+        own = np.flatnonzero(aside[owner])
+        at = np.flatnonzero(np.diff(owner[own], prepend=-1))
+        net.p["bo"] -= np.float32(np.clip(_threshold(np.maximum.reduceat(_score_known(net, wb, cb, starts, ids[own]), at), y[owner[own[at]]]) - np.log(CUT / (1 - CUT)), -1, 4))
     return net
 
 
+def _threshold(logits: np.ndarray, y: np.ndarray) -> float:
+    """Where the fewest documents are on the wrong side: a quarter into the widest such gap."""
+    order = np.argsort(logits)
+    s, label = logits[order], y[order]
+    wrong = np.concatenate([[0], np.cumsum(label)]) + np.concatenate([np.cumsum((1 - label)[::-1])[::-1], [0]])
+    edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
+    best = np.flatnonzero(wrong == wrong.min())
+    k = best[np.argmax((edges[1:] - edges[:-1])[best])]
+    return float(edges[k] + (edges[k + 1] - edges[k]) / 4)
+
+
+def _some(cb: np.ndarray, starts: np.ndarray, ends: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """N-gram buckets of some words, and where each word's begin."""
+    parts = [cb[starts[w] : ends[w]] for w in used]
+    return np.concatenate(parts), np.cumsum([0, *(len(q) for q in parts[:-1])])
+
+
+def _score_known(net: Net, wb: np.ndarray, cb: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Logits of windows, some at a time: memory doesn't follow the number of distinct words."""
+    ends, out = np.append(starts[1:], len(cb)), []
+    for at in range(0, len(ids), 1024):
+        used, inv = np.unique(ids[at : at + 1024], return_inverse=True)
+        local = inv.reshape(-1, STEPS) - (used[0] < 0)
+        used = used[used >= 0]
+        out.append(net.forward(net.project(net.embed(wb[used], *_some(cb, starts, ends, used))), local)[0])
+    return np.concatenate(out)
+
+
 def _score_windows(net: Net, t: _Texts, ids: np.ndarray) -> np.ndarray:
     gx = net.project(net.embed(*_inputs(t.words)))
     return np.concatenate([net.forward(gx, ids[at : at + 1024])[0] for at in range(0, len(ids), 1024)]) if len(ids) else np.zeros(0, np.float32)
@@ -246,7 +288,7 @@ def score(net: Net | None, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1500, max_chars: int = 65_536) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1200, max_chars: int = 65_536) -> Net | None:
     """Learns from at most ``max_per_class`` documents of each label, none held out."""
     d = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars)).select("doc_id")
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").distinct().join(d, "doc_id", "left_semi")
@@ -256,7 +298,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1500, max_ch
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, net: Net | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = CUT, net: Net | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     net = net or fit(docs, labels)
@@ -268,7 +310,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     return map_arrow(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), one, "doc_id long, held_out boolean, score double, predicted int", rows=128)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = CUT) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns. The score is taken row by row, so repeated ids don't matter."""
     net, columns = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels), docs.columns
     at = columns.index("text")
