@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.shared import map_arrow, written
 
-TREES, LEAF, SAMPLE, BLOCK, OVERLAP = 5, 400, 20_000, 4096, 0.65
+TREES, LEAF, SAMPLE, BLOCK, OVERLAP = 5, 500, 20_000, 2048, 0.65
 
 
 def usable(v: Column) -> Column:
@@ -73,7 +73,7 @@ class Tree:
         return np.concatenate(rows), np.concatenate(leaf)
 
 
-def grow(sample: np.ndarray, rows: int, threshold: float, seed: int, leaf: int = LEAF) -> Tree:
+def grow(sample: np.ndarray, rows: int, threshold: float, seed: int, leaf: float = LEAF) -> Tree:
     """A tree over unit vectors whose leaves get about ``leaf`` of ``rows`` vectors."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     overlap = OVERLAP * math.sqrt(max(0.0, 2 - 2 * threshold) / dim)
@@ -118,18 +118,14 @@ def _route(classes: DataFrame, trees: list[Tree], dim: int) -> DataFrame:
     return map_arrow(schema, one, f"leaf long, id long, label {schema.schema['label'].dataType.simpleString()}, n long, v array<{schema.schema['v'].dataType.elementType.simpleString()}>, leaves array<long>", rows=2048)
 
 
-def _first_common(leaves: list[list[int]], i: np.ndarray, j: np.ndarray, leaf: int) -> np.ndarray:
-    """Whether ``leaf`` is the first leaf that the vectors i and j share."""
-    width = max(map(len, leaves))
-    table = np.full((len(leaves), width), -1, dtype=np.int64)
-    for k, x in enumerate(leaves):
-        table[k, : len(x)] = x
-    earlier = np.where((table >= 0) & (table < leaf), table, -1)
-    keep = np.ones(len(i), bool)
-    for at in range(0, len(i), 20_000):
-        a, b = earlier[i[at : at + 20_000]], earlier[j[at : at + 20_000]]
-        keep[at : at + 20_000] = ~((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).any(axis=(1, 2))
-    return keep
+def _earlier(leaves: list[list[int]], leaf: int) -> np.ndarray:
+    """(vector, leaf) as 0 or 1 for the leaves before ``leaf``: two rows' product counts the earlier leaves that they share."""
+    place: dict[int, int] = {}
+    at = [[place.setdefault(x, len(place)) for x in own if x < leaf] for own in leaves]
+    out = np.zeros((len(leaves), max(1, len(place))), np.float32)
+    for row, own in zip(out, at, strict=True):
+        row[own] = 1
+    return out
 
 
 def _compare(threshold: float, dim: int):
@@ -137,7 +133,7 @@ def _compare(threshold: float, dim: int):
         t = t.combine_chunks()
         ids, n, block = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("block").to_numpy()
         x = matrix(t.column("v").combine_chunks() if isinstance(t.column("v"), pa.ChunkedArray) else t.column("v"), dim)
-        u, leaves, number = unit(x), t.column("leaves").to_pylist(), t.column("leaf")[0].as_py()
+        u, earlier = unit(x), _earlier(t.column("leaves").to_pylist(), t.column("leaf")[0].as_py())
         across = t.column("b1")[0].as_py() != t.column("b2")[0].as_py()
         links, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for at in range(0, len(ids), 1024):
@@ -160,7 +156,7 @@ def _compare(threshold: float, dim: int):
                 up = up[up]
                 if (up == before).all():
                     break
-            first = _first_common(leaves, i, j, number)
+            first = (earlier[at : at + 1024] @ earlier.T)[i - at, j] == 0
             np.add.at(links, i[first], n[j[first]])
             np.add.at(links, j[first], n[i[first]])
         some = (links > 0) | (up != np.arange(len(ids)))
@@ -179,9 +175,12 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
     sums = None
     for dim, count in sorted(map(tuple, parts)):
         own = classes.where(F.size("v") == dim)
+        # leaves are compared label by label: a leaf may hold as many times more as there are labels (by inverse Simpson index, so one hot label counts)
+        square = own.groupBy("label").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0]
+        room = leaf * max(1.0, count * count / square)
         picked = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
         sample = unit(matrix(picked.column("v").combine_chunks(), dim))
-        forest = [grow(sample, count, threshold, seed, leaf) for seed in range(trees)]
+        forest = [grow(sample, count, threshold, seed, room) for seed in range(trees)]
         routed = written(_route(own, forest, dim), "leaves")
         blocks = routed.groupBy("leaf", "label").count().select("leaf", "label", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
         many = routed.join(blocks.where("nb > 1"), ["leaf", "label"], "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
