@@ -127,6 +127,19 @@ def test_passages(docs):
     assert passages.repeated_passages(full.where("doc_id IN (30, 31)")).count() == 0
 
 
+def test_windows_of_a_batch_stay(docs):
+    """A document's windows don't depend on what other documents of the batch hold, unless a smaller id has a window that is equal throughout."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    p, own = text(60), text(55)
+    b = " ".join(text(80) + p + text(80))
+    d = docs(" ".join(text(60) + p[5:50] + text(60)), b, " ".join(own + ["x"] + own), b, ids=[3, 7, 8, 5]).coalesce(1)
+    seen = lambda ids: {tuple(r) for r in passages._windows(d.where(F.col("doc_id").isin(ids)).select("doc_id", "text"), 5, 46).collect() if r["z"] != -1}
+    assert seen([3, 7, 8]) == seen([3]) | seen([7]) | seen([8])
+    assert seen([3, 5, 7, 8]) == seen([3]) | seen([5]) | seen([8])
+
+
 def vectors(spark, rng, n=400):
     base = rng.standard_normal((40, 16))
     x = [base[i % 40] + rng.standard_normal(16) * 0.02 * (i % 7) for i in range(n)]
