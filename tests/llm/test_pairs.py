@@ -140,6 +140,20 @@ def test_windows_of_a_batch_stay(docs):
     assert seen([3, 5, 7, 8]) == seen([3]) | seen([5]) | seen([8])
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_passages_beside_fragments(docs, monkeypatch, block):
+    """Passages of 55 words in two documents each, of which smaller documents quote 45 words: too few to be reported, yet they lead every key."""
+    monkeypatch.setattr(passages, "BLOCK", block, raising=False)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    shared = [text(55) for _ in range(6)]
+    d = [text(60) + p[(at := rng.randrange(11)) : at + 45] + text(60) for p in shared for _ in range(12)]
+    d += [text(60) + p + text(60) for p in shared for _ in range(2)]
+    got = {r["doc_id"]: (r["component_id"], r["spans"], r["cut_spans"]) for r in passages.repeated_passages(docs(*(" ".join(x) for x in d))).collect()}
+    assert got == {72 + i: (72 + i - i % 2, "60:115", "60:115" if i % 2 else "") for i in range(12)}
+
+
 def vectors(spark, rng, n=400):
     base = rng.standard_normal((40, 16))
     x = [base[i % 40] + rng.standard_normal(16) * 0.02 * (i % 7) for i in range(n)]
