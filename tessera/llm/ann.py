@@ -7,7 +7,7 @@
 4. A query reads the lists whose centroids are within ``ratio`` times its least distance. The ratio is learned: on ``PROBES`` sample queries with exact
    neighbours from one full scan it is the least that finds ``GOAL`` of them, so easy data read few lists and hard data many. More lists
    follow, if need be, until they hold enough vectors for k distinct neighbours.
-5. Queries and postings meet by list in matrix products; lists of more than ``BLOCK`` vectors are cut into blocks. Each block sends on k rows per query;
+5. Queries and postings meet by list in matrix products; lists of more than ``BLOCK`` vectors are cut into blocks. Each block sends on k distinct ids per query, each by its best row;
    scores are exact cosines of the original vectors in double precision.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no part; vectors of another length than
@@ -109,13 +109,21 @@ class Graph:
         return out
 
 
+def _by_id(s: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and of each the best column of s."""
+    order = np.argsort(ids, kind="stable")
+    own, first = np.unique(ids[order], return_index=True)
+    return (s, ids) if len(own) == len(ids) else (np.maximum.reduceat(s[:, order], first, axis=1), own)
+
+
 def _exact(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, dim: int) -> DataFrame:
-    """The k nearest of all vectors for each of some queries: one scan, k rows per query and batch."""
+    """The k nearest of all vectors for each of some queries: one scan, k ids per query and batch."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
         s = unit(q) @ unit(x).T
         s[ids[:, None] == own[None, :]] = -2
+        s, own = _by_id(s, own)
         top = np.argpartition(-s, min(k, len(own)) - 1, axis=1)[:, :k]
         i = np.repeat(np.arange(len(q)), top.shape[1])
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[top.ravel()]), pa.array(s[i, top.ravel()])], names=["query_id", "vec_id", "score"])
@@ -163,11 +171,15 @@ def _meet(k: int, dim: int):
             for at in range(0, len(qid), 256):
                 s = qu[at : at + 256] @ u.T
                 s[qid[at : at + 256, None] == ids[None, :]] = -2
-                least = np.partition(s, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                best, own = _by_id(s, ids)
+                least = np.partition(best, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
                 i, j = np.nonzero((s >= np.maximum(least, -1.5)[:, None] - 1e-9) & (s > -1.5))  # with what may tie
                 exact = np.concatenate([cosines(qx[at + i[n : n + 50_000]], x[j[n : n + 50_000]]) for n in range(0, len(i), 50_000)]) if len(i) else np.zeros(0)
                 order = np.lexsort((ids[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
+                if len(own) < len(ids):  # of a repeated id the best row
+                    first = np.sort(np.unique(np.stack([i, ids[j]]), axis=1, return_index=True)[1])
+                    i, j, exact = i[first], j[first], exact[first]
                 nth = np.arange(len(i)) - np.searchsorted(i, i)
                 out[0].append(qid[at + i[nth < k]])
                 out[1].append(ids[j[nth < k]])
@@ -190,9 +202,9 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
         graph = Graph.over(balanced_centroids(sample, max(1, min(MAX_LISTS, math.ceil(n / LIST)))))
         lists = len(graph.centroids)
         posted = written(_post(base, graph, dim), "postings")
-        sizes = np.zeros(lists, np.int64)
-        for at, count in posted.groupBy("list").count().collect():  # MAX_LISTS rows at most
-            sizes[at] = count
+        sizes, distinct = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+        for at, count, different in posted.groupBy("list").agg(F.count("*"), F.count_distinct("id")).collect():  # MAX_LISTS rows at most
+            sizes[at], distinct[at] = count, different
         blocks = np.maximum(1, -(-sizes // BLOCK))
 
         probe, ids = raw[:PROBES], picked.column("id").to_numpy()[:PROBES]
@@ -207,7 +219,7 @@ def search(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vect
                 r = d[place[q], at] / max(d[place[q]].min(), 1e-6)
                 need[q, v] = min(need.get((q, v), math.inf), r)
             ratio = float(np.quantile(list(need.values()), GOAL)) * (1 + 1e-9)
-        asked = _ask(base.where(is_query), graph, dim, ratio, sizes, blocks, least=8 * (k + 1))
+        asked = _ask(base.where(is_query), graph, dim, ratio, distinct, blocks, least=8 * (k + 1))
         nb = F.element_at(F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<long>"), (F.col("list") + 1).cast("int"))
         cut = posted.withColumn("block", F.pmod(F.xxhash64("id"), nb))
         found = asked.groupBy("list", "block").cogroup(cut.groupBy("list", "block")).applyInArrow(_meet(k, dim), "query_id long, vec_id long, score double")

@@ -210,6 +210,20 @@ def test_search(spark):
     assert sorted(r["rank"] for r in few) == [1, 2] and ann.search(d.where("false"), F.lit(True)).count() == 0
 
 
+def test_search_repeated_ids(spark):
+    """Ten near copies of one id beside a query take one place, not all five."""
+    rng = np.random.default_rng(7)
+    q = rng.standard_normal(16)
+    rows = [(0, q)] + [(1, q + rng.standard_normal(16) * 0.001) for _ in range(10)] + [(i, q + rng.standard_normal(16) * 0.01 * i) for i in range(2, 30)]
+    d = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    score = {}
+    for i, v in rows[1:]:
+        score[i] = max(score.get(i, -1), float(v @ q / np.linalg.norm(v) / np.linalg.norm(q)))
+    best = sorted(score, key=lambda i: (-score[i], i))[:5]
+    got = ann.search(d, F.col("id") == 0, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == best and best[0] == 1 and all(abs(r["score"] - score[r["vec_id"]]) < 1e-12 for r in got)
+
+
 def test_graph_finds_nearest():
     rng = np.random.default_rng(2)
     c = vecdup.unit(rng.standard_normal((500, 8)))
