@@ -26,7 +26,3 @@ def frame(spark):
 
     return lambda schema, data: read_inline(spark, schema, data)
 
-
-def rows(df):
-    """Rows as strings, sorted; null is empty."""
-    return sorted(",".join("" if v is None else str(v) for v in r) for r in df.collect())

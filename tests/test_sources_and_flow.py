@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from support import rows
 
 from tessera.operators.quality import Quality, bound_rule, fail_any
 from tessera.plans import flow
