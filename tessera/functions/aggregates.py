@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,30 +77,34 @@ def _nulls_first(a: Column, b: Column) -> Column:
 def most_frequent(df: DataFrame, keys: Sequence[str], column: str, name: str | None = None) -> DataFrame:
     """One row per group: all most frequent non-null values as an array of (value, n)."""
     n = df.where(F.col(column).isNotNull()).groupBy(*keys, column).count()
-    best = n.withColumn("__m", F.max("count").over(Window.partitionBy(*(keys or [F.lit(1)])))).where(F.col("count") == F.col("__m"))
+    from tessera.operators.keyed import null_safe_join
+
+    best = null_safe_join(n, n.groupBy(*keys).agg(F.max("count").alias("__m")), keys).where(F.col("count") == F.col("__m"))
     return best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(column).alias("value"), F.col("count").alias("n")))).alias(name or f"{column}_mfv"))
 
 
 def bin_histogram(df: DataFrame, keys: Sequence[str], columns: dict[str, int] | Sequence[str], postfix: str = "_bin", default_bins: int = 1000) -> DataFrame:
     """Per group and column an array of (low, high, n) over equal bins between the group's least and largest value; empty bins are left out, nulls
-    skipped. Null keys are a group like any other."""
+    skipped. Null keys are a group like any other.
+
+    All columns at once: one aggregation for the bounds, one for the bins, both partial before their shuffle; no group is gathered in one task."""
+    from tessera.operators.keyed import null_safe_join
+
     columns = columns if isinstance(columns, dict) else {c: default_bins for c in columns}
     if not columns:
         return df
-    out: DataFrame | None = None
-    for c, bins in columns.items():
-        by = Window.partitionBy(*(keys or [F.lit(1)]))
-        v = F.col(c).cast("double")
-        d = df.select(*keys, v.alias("v"), F.min(v).over(by).alias("lo"), F.max(v).over(by).alias("hi")).where("v IS NOT NULL")
-        width = (F.col("hi") - F.col("lo")) / bins
-        b = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-        n = d.withColumn("b", b).withColumn("w", width).groupBy(*keys, "b", "lo", "w").count()
-        low = F.col("lo") + F.col("b") * F.col("w")
-        h = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(low.alias("low"), (low + F.col("w")).alias("high"), F.col("count").alias("n")))).alias(c + postfix))
-        if out is None:
-            out = h
-        else:
-            right = h.select(*(F.col(k).alias(f"__r_{k}") for k in keys), c + postfix)
-            on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
-            out = (out.join(right, on, "full") if keys else out.crossJoin(right)).select(*(F.coalesce(k, f"__r_{k}").alias(k) for k in keys), *(x for x in out.columns if x not in keys), c + postfix)
-    return out
+    names, sizes = list(columns), list(columns.values())
+    own = df.select(*keys, *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(names)))
+    bounds = own.groupBy(*keys).agg(*(f(f"__v{i}").alias(f"__{n}{i}") for i in range(len(names)) for n, f in (("lo", F.min), ("hi", F.max))))
+
+    def cell(i: int) -> Column:
+        v, lo, width = F.col(f"__v{i}"), F.col(f"__lo{i}"), (F.col(f"__hi{i}") - F.col(f"__lo{i}")) / sizes[i]
+        b = F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(sizes[i] - 1))).otherwise(0)
+        low = lo + b * width
+        return F.when(v.isNotNull(), F.struct(F.lit(i).alias("__i"), low.alias("__low"), (low + width).alias("__high")))
+
+    cells = null_safe_join(own, bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*map(cell, range(len(names)))))).alias("__c")).select(*keys, "__c.*")
+    n = cells.groupBy(*keys, "__i", "__low", "__high").count()
+    bins = F.struct(F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("count").alias("n"))
+    arrays = [F.array_sort(F.collect_list(F.when(F.col("__i") == i, bins))) for i in range(len(names))]
+    return n.groupBy(*keys).agg(*(F.when(F.size(a) > 0, a).alias(c + postfix) for a, c in zip(arrays, names, strict=True)))

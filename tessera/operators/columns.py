@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DESC, LABEL = "description", "labels"
 
@@ -156,17 +157,28 @@ def unpivot(df: DataFrame, columns: Sequence[str], name: str = "column", value:
     return df.unpivot([c for c in df.columns if c not in columns], list(columns), name, value)
 
 
-def unpivot_regex(df: DataFrame, columns: Sequence[str], pattern: str, index: str | None = "Index") -> DataFrame:
-    """``pattern``'s two groups are a column's new name and its row's index: all of one index make one row, absent ones null. Values become strings."""
+def unpivot_by(df: DataFrame, columns: Sequence[str], name_of: Callable[[str], tuple[str, str]], index: str | None = "Index") -> DataFrame:
+    """``name_of`` gives a column's new name and its row's index: all of one index make one row, by length and then by text of the index; absent ones are null.
+    A new column keeps the type of those that make it, and is text where these differ. ``index``: the index's column, or None for none."""
     _need(df, columns)
-    parts = {}
-    for c in columns:
-        if not (m := re.fullmatch(pattern, c)) or len(m.groups()) != 2:
-            raise ValueError(f"{c} doesn't match {pattern} with two groups")
-        parts[m[1], m[2]] = c
+    parts = {name_of(c): c for c in columns}
     names = list(dict.fromkeys(n for n, _ in parts))
     order = sorted({i for _, i in parts}, key=lambda i: (len(i), i))
     keep = [c for c in df.columns if c not in columns]
-    rows = [F.struct(F.lit(i).alias("i"), *((F.col(parts[n, i]).cast("string") if (n, i) in parts else F.lit(None).cast("string")).alias(n) for n in names)) for i in order]
-    out = df.select(*keep, F.explode(F.array(*rows)).alias("__u"))
-    return out.select(*keep, *([F.col("__u.i").alias(index)] if index else []), *(F.col(f"__u.{n}").alias(n) for n in names))
+    kinds = {n: {df.schema[c].dataType.json(): df.schema[c].dataType for (m, _), c in parts.items() if m == n} for n in names}
+    kind = {n: next(iter(k.values())) if len(k) == 1 else T.StringType() for n, k in kinds.items()}
+    rows = [F.struct(F.lit(i).alias("__i"), *((F.col(parts[n, i]) if (n, i) in parts else F.lit(None)).cast(kind[n]).alias(n) for n in names)) for i in order]
+    at = unique_name([*df.columns, *names], "__u")
+    out = df.select(*keep, F.explode(F.array(*rows)).alias(at))
+    return out.select(*keep, *([F.col(f"{at}.__i").alias(index)] if index else []), *(F.col(f"{at}.{n}").alias(n) for n in names))
+
+
+def unpivot_regex(df: DataFrame, columns: Sequence[str], pattern: str, index: str | None = "Index") -> DataFrame:
+    """``unpivot_by`` with a pattern whose two groups are the new name and the index; a column that doesn't match throughout is an error."""
+
+    def name_of(c: str) -> tuple[str, str]:
+        if not (m := re.fullmatch(pattern, c)) or len(m.groups()) != 2:
+            raise ValueError(f"{c} doesn't match {pattern} with two groups")
+        return m[1], m[2]
+
+    return unpivot_by(df, columns, name_of, index)

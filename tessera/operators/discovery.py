@@ -4,44 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tessera.operators.keyed import null_safe_join
 
-def _rotl(x: int, r: int) -> int:
-    return (x << r | x >> (32 - r)) & 0xFFFFFFFF
 
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint32(r) | x >> np.uint32(32 - r)
 
-def _mix(h: int, k: int, last: bool = False) -> int:
-    k = _rotl(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
-    h ^= k
-    return h if last else (_rotl(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
 
+def _scramble(k: np.ndarray) -> np.ndarray:
+    return _rotl(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
 
-def murmur_text(text: str, seed: int) -> int:
-    """MurmurHash3 (32 bits) over pairs of UTF-16 units, the second in the low half, as the Scala library hashes strings."""
-    raw = text.encode("utf-16-be", "surrogatepass")
-    units = [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
-    h = seed
-    for i in range(0, len(units) - 1, 2):
-        h = _mix(h, ((units[i] << 16) + units[i + 1]) & 0xFFFFFFFF)
-    if len(units) % 2:
-        h = _mix(h, units[-1], last=True)
-    h ^= len(units)
-    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
-    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
-    return h ^ h >> 16
+
+def murmur_texts(texts: list[str], seed: int) -> np.ndarray:
+    """MurmurHash3 (32 bits) over pairs of UTF-16 units, the second in the low half, as the Scala library hashes strings: all texts step by step together."""
+    raw = [t.encode("utf-16-le", "surrogatepass") for t in texts]
+    size = np.array([len(r) // 2 for r in raw], np.int64)
+    units, at = np.frombuffer(b"".join(raw), np.uint16).astype(np.uint32), np.cumsum(size) - size
+    h = np.full(len(texts), seed, np.uint32)
+    own = np.argsort(-size, kind="stable")  # those still going come first
+    ends = np.searchsorted(-size[own], -np.arange(2, (size.max(initial=0) // 2) * 2 + 1, 2), side="right")
+    for step, n in enumerate(ends):
+        i = own[:n]
+        k = (units[at[i] + 2 * step] << np.uint32(16)) + units[at[i] + 2 * step + 1]
+        h[i] = _rotl(h[i] ^ _scramble(k), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    odd = np.flatnonzero(size % 2)
+    h[odd] ^= _scramble(units[at[odd] + size[odd] - 1])
+    h ^= size.astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return h ^ h >> np.uint32(16)
 
 
 def hash_sample(df: DataFrame, key: Column | str, rate: float = 0.01, seed: int = 23) -> DataFrame:
-    """Rows whose key's hash falls under the rate: a key's rows share their fate, in every run. Null keys don't stay."""
+    """Rows whose key's hash falls under the rate: a key's rows share their fate, in every run. Null keys don't stay. ``fast_sample`` needs no Python, but
+    takes other keys."""
     limit = 0x7FFFFFFF * rate
 
     @F.pandas_udf("boolean")
     def keep(c: pd.Series) -> pd.Series:
-        known: dict[str, bool] = {}
-        return c.map(lambda t: known.setdefault(t, (murmur_text(t, seed) & 0x7FFFFFFF) < limit) if isinstance(t, str) else False)
+        codes, known = pd.factorize(c)  # each key once; null is -1
+        under = (murmur_texts(known.tolist(), seed) & np.uint32(0x7FFFFFFF)) < limit
+        return pd.Series(np.append(under, False)[codes])
 
     return df.where(keep((F.col(key) if isinstance(key, str) else key).cast("string")))
 
@@ -58,15 +66,17 @@ def pipe_count(df: DataFrame, name: str = "pipe") -> tuple[DataFrame, Observatio
 
 
 def dupe_check(df: DataFrame, keys: Sequence[str], n: int | None = 10_000) -> DataFrame:
-    """Among the first n rows (all if None) those whose keys occur again, with their number ``_N``: keys, ``_N``, the rest, by keys. Null keys are equal."""
+    """Among the first n rows (all if None) those whose keys occur again, with their number ``_N``: keys, ``_N``, the rest. Null keys are equal.
+
+    Only counts of keys are grouped; whole rows meet those that occur again. Sort by the keys to see them side by side."""
     own = df if n is None else df.limit(n)
-    out = own.withColumn("_N", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_N > 1")
-    return out.select(*keys, "_N", *(c for c in df.columns if c not in keys)).orderBy(*keys)
+    again = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N")).where("_N > 1")
+    return null_safe_join(own, again, keys).select(*keys, "_N", *(c for c in df.columns if c not in keys))
 
 
-def discover_key(df: DataFrame, n: int = 10_000) -> tuple[list[str], int]:
-    """Columns that tell the first n rows apart, found greedily, and the number of distinct values: one aggregation a round."""
-    own = df.limit(n).cache()
+def discover_key(df: DataFrame, n: int | None = 10_000) -> tuple[list[str], int]:
+    """Columns that tell the first n rows (all if None) apart, found greedily, and the number of distinct values: one aggregation a round."""
+    own = (df if n is None else df.limit(n)).cache()
     try:
         chosen: list[str] = []
         best = 0

@@ -15,6 +15,7 @@ from tessera.operators.columns import unique_name, value_to_column_name
 from tessera.operators.panels import Panel, Period
 
 TIME = "period"
+MAX_PIVOT = 10_000
 
 
 def keyed(df: DataFrame, *keys: str) -> Keyed:
@@ -47,6 +48,17 @@ def row_index(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     return numbered.withColumn(name, (at + F.col("__i")).cast("long")).drop("__p", "__i")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left``'s columns and ``right``'s others, where the keys are equal, null and null too. Without keys ``right`` is one row. Joins split skewed keys by themselves."""
+    more = [c for c in right.columns if c not in keys]
+    if not keys:
+        return left.join(F.broadcast(right), how="cross")  # an aggregate without keys has one row
+    names = {k: unique_name([*left.columns, *right.columns], f"__{k}") for k in keys}
+    other = right.withColumnsRenamed(names)
+    on = [left[k].eqNullSafe(other[names[k]]) for k in keys]
+    return left.join(other, on, how).select(*(left[c] for c in left.columns), *(other[c] for c in more))
+
+
 _RUNNING = ("avg", "sum", "count", "min", "max", "first", "last")
 
 
@@ -110,25 +122,29 @@ class Keyed:
     def scale(self, ranges: dict[str, tuple[float, float]], zero_pivot: bool = False, drop_range: bool = True) -> DataFrame:
         """``<c>_scaled`` between the bounds, from the group's least and largest value, or from plus and minus its largest absolute value; the middle where
         all are equal."""
-        out = self.df
-        for c, (lo, hi) in ranges.items():
-            v, w = F.col(c).cast("double"), self._by()
-            low, high = F.min(v).over(w), F.max(v).over(w)
+        bounds: list[Column] = []
+        for c in ranges:
+            low, high = F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))
             if zero_pivot:
                 high = F.greatest(F.abs(low), F.abs(high))
                 low = -high
-            out = out.withColumns({f"{c}_min": low, f"{c}_max": high})
-            a, b = F.col(f"{c}_min"), F.col(f"{c}_max")
+            bounds += [low.alias(f"{c}_min"), high.alias(f"{c}_max")]
+        # partial minima before the shuffle, then a join: no group is gathered in one task
+        out = null_safe_join(self.df, self.df.groupBy(*self.keys).agg(*bounds), self.keys, "left")
+        for c, (lo, hi) in ranges.items():
+            v, a, b = F.col(c).cast("double"), F.col(f"{c}_min"), F.col(f"{c}_max")
             out = out.withColumn(f"{c}_scaled", F.when(v.isNotNull(), F.when(a == b, (lo + hi) / 2).otherwise(F.try_divide(v - a, b - a) * (hi - lo) + lo)))
             out = out.drop(f"{c}_min", f"{c}_max") if drop_range else out
         return out
 
     def pivot(self, sets: Sequence[Sequence[str]], values: Sequence[str], base: Sequence[str] | None = None) -> DataFrame:
         """A row for each row: keys and ``<value>_<base>``, null unless the row's pivot key, its columns' values as names joined by ``_``, is that base. Without
-        ``base`` the distinct keys are collected (one column each)."""
+        ``base`` the distinct keys are collected (one column each); more than ``MAX_PIVOT`` are an error."""
         found = [F.concat_ws("_", *(column_name_text(c) for c in s)) for s in sets]
         if base is None:
-            base = sorted({r[0] for f in found for r in self.df.select(f).distinct().collect()})
+            base = sorted({r[0] for f in found for r in self.df.select(f).distinct().limit(MAX_PIVOT + 1).collect()})
+            if len(base) > MAX_PIVOT:
+                raise ValueError(f"more than {MAX_PIVOT} output columns: name those that are wanted")
         if not base:
             raise ValueError("the output columns must be known")
         hit = lambda b: F.array_contains(F.array(*found), F.lit(b))

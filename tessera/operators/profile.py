@@ -60,15 +60,17 @@ def _hists(df: DataFrame, c: str) -> list[tuple[str, Column]]:
     return []
 
 
-def _value(c: Column) -> Column:
-    return F.substring(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), 6, 1_000_000).substr(F.lit(1), F.length(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})) - 6)
+def _value(c: Column, text: bool) -> Column:
+    """A statistic as JSON: numbers as they are, texts (times, which need no escape) in quotes."""
+    said = F.concat(F.lit('"'), c, F.lit('"')) if text else F.when(F.isnan(c.cast("double")), '"NaN"').otherwise(c.cast("string"))
+    return F.coalesce(said, F.lit("null"))
 
 
 def _stat_rows(df: DataFrame, keys: Sequence[str], tasks: list[tuple[str, str, Column]]) -> DataFrame | None:
     if not tasks:
         return None
     wide = df.groupBy(*keys).agg(*(e.alias(f"__{i}") for i, (_, _, e) in enumerate(tasks)))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit("stat").alias("kind"), F.lit(t).alias("task"), F.lit(ABOUT[t]).alias("about"), _value(F.col(f"__{i}")).alias("value")) for i, (c, t, _) in enumerate(tasks)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.lit("stat").alias("kind"), F.lit(t).alias("task"), F.lit(ABOUT[t]).alias("about"), _value(F.col(f"__{i}"), t in ("tmi", "tma")).alias("value")) for i, (c, t, _) in enumerate(tasks)))
     return wide.select(*keys, F.inline(rows))
 
 
@@ -79,8 +81,10 @@ def _hist_rows(df: DataFrame, keys: Sequence[str], tasks: list[tuple[str, str, C
     n = df.select(*keys, F.inline(cells)).groupBy(*keys, "i", "v").count()
     h = n.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("v", "count"))).alias("h"))
     numeric = [i for i, (_, t, _, _) in enumerate(tasks) if t in ("nkh", "nfh", "amt", "bnh", "boo")]
-    key = lambda x: F.when(F.col("i").isin(numeric), F.coalesce(x["v"], F.lit("null"))).otherwise(F.to_json(F.struct(x["v"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(x["v"].alias("k")))) - 6))
-    pairs = F.array_join(F.transform("h", lambda x: F.concat(F.to_json(F.array(F.coalesce(key(x), F.lit("null")))).substr(F.lit(2), F.length(F.to_json(F.array(F.coalesce(key(x), F.lit("null"))))) - 2), F.lit(":"), x["count"].cast("string"))), ",")
+    # a bar's name is itself JSON text: strings are quoted within the quotes
+    json_text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    key = lambda x: F.coalesce(F.when(F.col("i").isin(numeric), x["v"]).otherwise(json_text(x["v"])), F.lit("null"))
+    pairs = F.array_join(F.transform("h", lambda x: F.concat(json_text(key(x)), F.lit(":"), x["count"].cast("string"))), ",")
     of = lambda at, f: F.element_at(F.array(*(F.lit(f(t)) for t in tasks)), at + 1)
     i = F.col("i")
     freq = of(i, lambda t: "true" if t[3] else "false")

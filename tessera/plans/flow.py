@@ -7,21 +7,22 @@ import importlib
 import inspect
 import io
 import json
-import os
+import re
 import time
 import tokenize
 import zlib
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tessera.operators.profile import summary
 from tessera.operators.quality import Quality
-from tessera.sources.schema import TextSchema, read_inline
-from tessera.sources.tables import load_model, save_model, write_catalog_table, write_csv
+from tessera.sources.schema import TextSchema, read_csv, read_inline, schema_path
+from tessera.sources.storage import Storage
+from tessera.sources.tables import Connection, load_model, save_model, write_catalog_table, write_csv, write_jdbc
 
 
 def _plain(source: str) -> str:
@@ -31,9 +32,12 @@ def _plain(source: str) -> str:
 
 
 class Module:
-    """A dataset. Subclasses define ``requires`` and ``run``; results that aren't ephemeral are kept under the folder ``data`` by content version."""
+    """A dataset. Subclasses define ``requires`` and ``run``; results that aren't ephemeral are kept under the folder ``data`` by content version.
+
+    ``persist`` is how: parquet, csv (with a text schema, written last) or json (with a JSON schema, written last)."""
 
     ephemeral = False
+    persist = "parquet"
     history_size = 5
     config_keys: Sequence[str] = ()
 
@@ -65,7 +69,7 @@ class Module:
         return f"{cls.__module__}.{cls.__qualname__}"
 
     def own_hash(self) -> int:
-        own = [c for c in type(self).__mro__ if issubclass(c, Module) and not c.__module__.startswith("tessera.")]
+        own = [c for c in type(self).__mro__ if issubclass(c, Module) and not c.__module__.startswith("tessera.plans.")]
         text = "".join(_plain(inspect.getsource(c)) for c in own) + json.dumps({k: self.app.config.get(k) for k in self.config_keys}, default=str)
         return (zlib.crc32(text.encode()) + self.instance_hash()) & 0x7FFFFFFF
 
@@ -84,14 +88,31 @@ class Module:
     def path(self) -> str:
         return f"{self.app.config['data']}/output/{self.version}"
 
+    def _mark(self) -> str:
+        path = f"{self.path()}.{self.persist}"
+        return {"parquet": f"{path}/_SUCCESS", "csv": f"{schema_path(path)}/_SUCCESS", "json": f"{path}.schema"}[self.persist]
+
     def persisted(self) -> bool:
-        return not self.ephemeral and os.path.exists(f"{self.path()}.parquet/_SUCCESS")
+        return not self.ephemeral and self.app.storage.exists(self._mark())
 
     def save(self, result: DataFrame) -> None:
-        result.write.mode("overwrite").parquet(f"{self.path()}.parquet")
+        path = f"{self.path()}.{self.persist}"
+        self.app.storage.delete(self._mark())
+        if self.persist == "csv":
+            write_csv(result, path)
+        elif self.persist == "json":
+            result.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+            self.app.storage.write(self._mark(), result.schema.json())
+        else:
+            result.write.mode("overwrite").parquet(path)
 
     def load(self) -> Any:
-        return self.app.spark.read.parquet(f"{self.path()}.parquet")
+        path, spark = f"{self.path()}.{self.persist}", self.app.spark
+        if self.persist == "csv":
+            return read_csv(spark, path, TextSchema.parse("\n".join(r["value"] for r in spark.read.text(schema_path(path)).collect())))
+        if self.persist == "json":
+            return spark.read.schema(T.StructType.fromJson(json.loads(self.app.storage.read(self._mark())))).json(path)
+        return spark.read.parquet(path)
 
 
 class SqlModule(Module):
@@ -120,14 +141,37 @@ class ModelModule(Module):
     """The result is any object that can be pickled."""
 
     def persisted(self) -> bool:
-        return os.path.exists(self.path() + ".pickle")
+        return self.app.storage.exists(self.path() + ".pickle")
 
     def save(self, result: Any) -> None:
-        os.makedirs(os.path.dirname(self.path()), exist_ok=True)
-        save_model(result, self.path() + ".pickle")
+        save_model(self.app.spark, result, self.path() + ".pickle")
 
     def load(self) -> Any:
-        return load_model(self.path() + ".pickle")
+        return load_model(self.app.spark, self.path() + ".pickle")
+
+
+class ModelExecModule(Module):
+    """Applies a model: ``execute`` takes the other inputs and the model's result."""
+
+    def model(self) -> type[ModelModule]:
+        raise NotImplementedError
+
+    def data(self) -> Sequence[type[Module]]:
+        return ()
+
+    def execute(self, inputs: dict[type[Module], Any], model: Any) -> DataFrame:
+        raise NotImplementedError
+
+    def requires(self) -> Sequence[type[Module]]:
+        return [self.model(), *self.data()]
+
+    def run(self, inputs: dict[type[Module], Any]) -> DataFrame:
+        return self.execute({k: v for k, v in inputs.items() if k is not self.model()}, inputs[self.model()])
+
+
+def link(module: type[Module]) -> type[Module]:
+    """A module of another application as an input: the module itself."""
+    return module
 
 
 class InlineData(Module):
@@ -145,22 +189,17 @@ class InlineData(Module):
 
 
 @contextmanager
-def lock(path: str, wait: float = 10.0, limit: float = 3600.0):
+def lock(storage: Storage, path: str, wait: float = 10.0, limit: float = 3600.0):
     """Holds a lock file, created exclusively."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
     until = time.monotonic() + limit
-    while True:
-        try:
-            os.close(os.open(path, os.O_CREAT | os.O_EXCL))
-            break
-        except FileExistsError:
-            if time.monotonic() > until:
-                raise TimeoutError(path) from None
-            time.sleep(wait)
+    while not storage.create(path):
+        if time.monotonic() > until:
+            raise TimeoutError(path)
+        time.sleep(wait)
     try:
         yield
     finally:
-        os.unlink(path)
+        storage.delete(path)
 
 
 def layered(*layers: dict[str, Any]) -> dict[str, Any]:
@@ -168,11 +207,34 @@ def layered(*layers: dict[str, Any]) -> dict[str, Any]:
     return {k: v for layer in layers for k, v in layer.items() if v is not None}
 
 
+def properties(text: str) -> dict[str, str]:
+    """``key = value`` lines; ``#`` and ``!`` begin comments, a backslash at a line's end joins the next."""
+    lines = re.sub(r"\\\n\s*", "", text).splitlines()
+    pairs = (re.split(r"\s*[=:]\s*", x.strip(), maxsplit=1) for x in lines if x.strip() and x.strip()[0] not in "#!")
+    return {p[0]: p[1] if len(p) > 1 else "" for p in pairs}
+
+
+def load_config(storage: Storage, files: Sequence[str] = (), command: dict[str, Any] | None = None, defaults: dict[str, Any] | None = None) -> dict[str, Any]:
+    """Defaults, then property files in order (application, runtime, connections, home, user; missing ones are skipped), then the command line."""
+    return layered(defaults or {}, *(properties(storage.read(f)) for f in files if storage.exists(f)), command or {})
+
+
+def connections(config: dict[str, Any], prefix: str = "con.") -> dict[str, Connection]:
+    """Connections from settings ``con.<name>.type`` and ``con.<name>.<setting>``."""
+    out: dict[str, dict[str, str]] = {}
+    for k, v in config.items():
+        if k.startswith(prefix) and k.count(".") >= 2:
+            name, setting = k.removeprefix(prefix).split(".", 1)
+            out.setdefault(name, {})[setting] = v
+    return {n: Connection(n, s.get("type", "files"), {k: v for k, v in s.items() if k != "type"}) for n, s in out.items()}
+
+
 class App:
     """Runs modules. ``config``: data (a folder), lock (bool), edd (bool), publish (a folder), and any others."""
 
     def __init__(self, spark: SparkSession, config: dict[str, Any], modules: Sequence[type[Module]] = ()):
         self.spark, self.config, self.known = spark, config, {m.name(): m for m in modules}
+        self.storage = Storage(spark)
         self._loaded: dict[type[Module], Module] = {}
         self._results: dict[str, Any] = {}
         self.run_info: dict[str, dict] = {}
@@ -232,7 +294,7 @@ class App:
         if not quick:
             if not m.ephemeral:
                 if self.config.get("lock"):
-                    with lock(m.path() + ".lock"):
+                    with lock(self.storage, m.path() + ".lock"):
                         if force or not m.persisted():
                             m.save(result)
                 else:
@@ -251,41 +313,40 @@ class App:
             info["columns"] = [{"name": f.name, "type": f.dataType.simpleString(), "metadata": dict(f.metadata)} for f in result.schema]
             if self.config.get("edd"):
                 info["edd"] = [r.asDict() for r in summary(result).collect()]
-        at = Path(f"{self.config['data']}/history/{m.name()}.json")
-        history = json.loads(at.read_text()) if at.exists() else []
+        history = self.history(type(m))
         message = m.validate_metadata(info, history)
         self.run_info[m.name()] = info
         if not m.ephemeral:
-            at.parent.mkdir(parents=True, exist_ok=True)
-            at.write_text(json.dumps([info, *history][: m.history_size], default=str))
+            self.storage.write(self._history(type(m)), json.dumps([info, *history][: m.history_size], default=str))
         if quality and not quality["passed"] or message:
             raise ValueError(f"{m.name()}: {message or json.dumps(quality)}")
 
+    def _history(self, cls: type[Module]) -> str:
+        return f"{self.config['data']}/history/{cls.name()}.json"
+
     def history(self, cls: type[Module]) -> list[dict]:
-        at = Path(f"{self.config['data']}/history/{cls.name()}.json")
-        return json.loads(at.read_text()) if at.exists() else []
+        at = self._history(cls)
+        return json.loads(self.storage.read(at)) if self.storage.exists(at) else []
 
     def purge(self) -> list[str]:
         """Removes persisted results of other versions than the known modules' own; their names."""
-        import shutil
-
-        keep = {self.resolve(c).version for c in self.known.values()}
-        folder, gone = Path(f"{self.config['data']}/output"), []
-        for p in folder.iterdir() if folder.exists() else []:
-            if p.name.removesuffix(".parquet").removesuffix(".pickle") not in keep:
-                shutil.rmtree(p) if p.is_dir() else p.unlink()
-                gone.append(p.name)
-        return gone
+        keep = {self.resolve(c).version + end for c in self.known.values() for end in (".parquet", ".pickle", ".csv", ".json", ".schema", ".json.schema")}
+        return self.storage.purge(f"{self.config['data']}/output", keep)
 
     # publishing
     def publish(self, cls: type[Module] | str, version: str) -> str:
         m = self.resolve(self.find(cls) if isinstance(cls, str) else cls)
         path = f"{self.config['publish']}/{version}/{m.name()}"
         write_csv(self.run(type(m)), path + ".csv")
-        Path(path + ".meta").write_text(json.dumps(self.run_info.get(m.name(), {}), default=str))
-        Path(path + ".hist").write_text(json.dumps(self.history(type(m)), default=str))
+        self.storage.write(path + ".meta", json.dumps(self.run_info.get(m.name(), {}), default=str))
+        self.storage.write(path + ".hist", json.dumps(self.history(type(m)), default=str))
         return path + ".csv"
 
+    def publish_jdbc(self, cls: type[Module] | str, connection: Connection, table: str | None = None) -> None:
+        """Appends to a table, by default of the module's name."""
+        m = self.resolve(self.find(cls) if isinstance(cls, str) else cls)
+        write_jdbc(self.run(type(m)), connection, table or type(m).__name__, "append")
+
     def publish_table(self, cls: type[Module], table: str, sql: str | None = None) -> None:
         """As a catalog table, or by statements parted by ``;`` over the view ``dftable``."""
         df = self.run(cls)
@@ -345,6 +406,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     p.add_argument("--force-run-all", action="store_true")
     p.add_argument("--publish", metavar="VERSION")
     p.add_argument("--publish-table", action="store_true")
+    p.add_argument("--publish-jdbc", metavar="CONNECTION", help="a connection of the settings, con.<name>.url and others")
+    p.add_argument("--config", nargs="*", default=[], metavar="FILE", help="property files, later ones over earlier ones")
+    p.add_argument("-s", "--stage", nargs="*", default=[], help="run all modules whose package or class is of this name")
     p.add_argument("--export-csv", metavar="FILE")
     p.add_argument("--purge", action="store_true")
     p.add_argument("--data", default="data")
@@ -352,9 +416,10 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = p.parse_args(argv)
     code = importlib.import_module(a.code)
     own = [c for c in vars(code).values() if inspect.isclass(c) and issubclass(c, Module) and c.__module__ == code.__name__]
-    config = layered({"data": a.data, "publish": f"{a.data}/publish"}, getattr(code, "CONFIG", {}), dict(x.split("=", 1) for x in a.set))
-    app = App(spark or SparkSession.builder.getOrCreate(), config, own)
-    chosen = own if a.run_app else [app.find(n) for n in a.run]
+    spark = spark or SparkSession.builder.getOrCreate()
+    config = load_config(Storage(spark), a.config, dict(x.split("=", 1) for x in a.set), {"data": a.data, "publish": f"{a.data}/publish", **getattr(code, "CONFIG", {})})
+    app = App(spark, config, own)
+    chosen = own if a.run_app else [app.find(n) for n in a.run] + [c for c in own if any(c.name().startswith(s + ".") for s in a.stage)]
     if a.graph:
         print(app.graph(a.graph))
     if a.dead:
@@ -370,6 +435,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             app.publish(c, a.publish)
         if a.publish_table:
             app.publish_table(c, c.__name__)
+        if a.publish_jdbc:
+            app.publish_jdbc(c, connections(config)[a.publish_jdbc])
         if a.export_csv:
             from tessera.sources.schema import export_csv
 

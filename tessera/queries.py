@@ -12,7 +12,7 @@ from tessera.functions import aggregates as agg
 from tessera.functions import dates, scalar, similarity
 from tessera.operators import columns as cols
 from tessera.operators import discovery, joins, profile, quality
-from tessera.operators.keyed import Keyed, dedup_by_key_with_order, keyed, row_index, top_n
+from tessera.operators.keyed import Keyed, dedup_by_key, dedup_by_key_with_order, keyed, row_index, top_n
 from tessera.operators.panels import month, week
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,7 @@ def dedup_latest_order(spark, d):
 
 @query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
 def dedup_keys_only(spark, d):
-    return _t(spark, d, "orders").select("o_custkey", "o_orderstatus").dropDuplicates()
+    return dedup_by_key(_t(spark, d, "orders"), "o_custkey", "o_orderstatus").select("o_custkey", "o_orderstatus")
 
 
 @query("SELECT c.k, c.name, c.nation, s.name AS _name, s.nation AS _nation FROM (SELECT c_custkey k, c_name AS name, c_nationkey nation FROM customer) c JOIN (SELECT s_suppkey k, s_name AS name, s_nationkey nation FROM supplier) s USING (k)")
@@ -145,12 +145,17 @@ def most_frequent_values(spark, d):
     return joins.most_frequent_values(_t(spark, d, "orders"), "o_custkey", 10)
 
 
-@query()
+@query("""WITH a AS (SELECT c_custkey AS id, c_name AS name, c_nationkey || '/' || c_mktsegment AS block FROM customer), b AS (SELECT id + 1 AS i, replace(name, '0', 'O') AS n, block AS k FROM a),
+  same AS (SELECT id, i FROM a JOIN b ON id = i * 7), x AS (SELECT id, i, right(name, 2) = right(n, 2) AS tail, (1::FLOAT - (levenshtein(name, n) / greatest(length(name), length(n)))::FLOAT)::FLOAT AS v
+    FROM a JOIN b ON block = k WHERE id NOT IN (SELECT id FROM same) AND i NOT IN (SELECT i FROM same))
+  SELECT id, i AS _id, true AS same, NULL::BOOLEAN AS tail, NULL::BOOLEAN AS close, NULL::DOUBLE AS close_Value, '100' AS "MatchBitmap" FROM same
+  UNION ALL SELECT id, i, false, tail, v > 0.5, round(v::DOUBLE, 4), '0' || tail::INT || (v > 0.5)::INT FROM x WHERE tail OR v > 0.5""")
 def entity_match(spark, d):
     a = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("block"))
     b = a.select((F.col("id") + 1).alias("_id"), F.regexp_replace("name", "0", "O").alias("_name"), F.col("block").alias("_block"))
-    levels = [joins.ExactLevel("sound", F.soundex("name") == F.soundex("_name")), joins.FuzzyLevel("close", F.lit(True), similarity.norm_levenshtein("name", "_name"), 0.8)]
-    return joins.EntityMatcher("id", "_id", levels, ("same", F.col("id"), F.col("_id") * 7), (F.col("block"), F.col("_block"))).match(a, b)
+    levels = [joins.ExactLevel("tail", F.right("name", F.lit(2)) == F.right("_name", F.lit(2))), joins.FuzzyLevel("close", F.lit(True), similarity.norm_levenshtein("name", "_name"), 0.5)]
+    m = joins.EntityMatcher("id", "_id", levels, ("same", F.col("id"), F.col("_id") * 7), (F.col("block"), F.col("_block"))).match(a, b)
+    return m.withColumn("close_Value", _r(F.col("close_Value").cast("double"), 4))
 
 
 @query("""SELECT c_custkey, c_nationkey, CASE WHEN n = 1 THEN NULL ELSE round(p, 6) END AS c_acctbal_pctrnk FROM (SELECT c_custkey, c_nationkey, percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) p, count(*) OVER (PARTITION BY c_nationkey) n FROM customer)""")
@@ -183,7 +188,7 @@ def running_sum(spark, d):
     return out.select("event_id", _r(F.col("total"), 4).alias("total"), "n", "top")
 
 
-@query()
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS row FROM nation")
 def row_numbers(spark, d):
     return row_index(_t(spark, d, "nation"), "row", 1).select("n_nationkey", "row")
 
@@ -257,7 +262,20 @@ def expand_structs(spark, d):
 # sampling and checks
 
 
-@query()
+def _step(h: str, k: str, r: int) -> str:
+    """A step of the 32-bit hash in SQL."""
+    turn = lambda x, n: f"(({x} * {1 << n}::UBIGINT) % 4294967296 + {x} // {1 << 32 - n}::UBIGINT)"
+    k = f"({turn(f'({k} * 3432918353::UBIGINT % 4294967296)', 15)} * 461845907::UBIGINT % 4294967296)"
+    return f"({turn(f'xor({h}, {k})', r)} * 5 + 3864292196) % 4294967296"
+
+
+_LAST = "xor(h, 18::UBIGINT)"
+
+
+@query(f"""WITH u AS (SELECT c_custkey, c_name, list_transform(range(1, 19, 2), lambda i: (unicode(c_name[i]) * 65536 + unicode(c_name[i + 1]))::UBIGINT) AS k FROM customer WHERE length(c_name) = 18),
+  a AS (SELECT c_custkey, c_name, xor(list_reduce(k, lambda h, x: {_step("h", "x", 13)}, 23::UBIGINT), 18::UBIGINT) AS h FROM u),
+  b AS (SELECT c_custkey, c_name, xor(h, h // 65536) * 2246822507::UBIGINT % 4294967296 AS h FROM a), c AS (SELECT c_custkey, c_name, xor(h, h // 8192) * 3266489909::UBIGINT % 4294967296 AS h FROM b)
+  SELECT c_custkey, c_name FROM c WHERE xor(h, h // 65536) % 2147483648 < 2147483647 * 0.3""")
 def hash_sample(spark, d):
     return discovery.hash_sample(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_name", 0.3)
 
@@ -272,9 +290,9 @@ def dupe_check(spark, d):
     return discovery.dupe_check(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"], None)
 
 
-@query()
+@query("SELECT 'o_orderkey' AS keys, count(DISTINCT o_orderkey) AS n FROM orders")
 def discover_key(spark, d):
-    keys, n = discovery.discover_key(_t(spark, d, "nation"))
+    keys, n = discovery.discover_key(_t(spark, d, "orders"), None)
     return spark.createDataFrame([(",".join(keys), n)], "keys string, n long")
 
 
@@ -326,9 +344,16 @@ def profile_numeric(spark, d):
     return s.groupBy().agg(pick("cnt").cast("long").alias("cnt"), pick("nct").cast("long").alias("nct"), _r(pick("avg")).alias("avg"), _r(pick("std")).alias("std"), pick("min").alias("min"), pick("max").alias("max"))
 
 
-@query()
+_NUMERIC = [f"SELECT '{c}' AS \"column\", '{t}' AS task, round({e.format(c)}, 3)::DOUBLE AS number, NULL AS text FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice") for t, e in (("cnt", "count({})"), ("nct", "count(*) - count({})"), ("avg", "avg({})"), ("std", "stddev_samp({})"), ("min", "min({})"), ("max", "max({})"))]
+_TEXTUAL = [f"SELECT '{c}', '{t}', {e.format(c)}::DOUBLE, NULL FROM orders" for c in ("o_orderstatus", "o_orderpriority") for t, e in (("cnt", "count({})"), ("nct", "count(*) - count({})"), ("mil", "min(length({}))"), ("mal", "max(length({}))"))]
+_TIMED = [f"SELECT 'o_orderdate', '{t}', NULL, strftime({e}(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders" for t, e in (("tmi", "min"), ("tma", "max"))]
+
+
+@query(" UNION ALL ".join(_NUMERIC + _TEXTUAL + _TIMED))
 def profile_all(spark, d):
-    return profile.summary(_t(spark, d, "orders"))
+    s = profile.summary(_t(spark, d, "orders")).where("kind = 'stat' AND task <> 'dct'")  # approximate, see approximate_distinct
+    text = F.col("task").isin("tmi", "tma")
+    return s.select("column", "task", _r(F.when(~text, F.col("value").try_cast("double")), 3).alias("number"), F.when(text, F.replace(F.col("value"), F.lit('"'), F.lit(""))).alias("text"))
 
 
 @query("SELECT floor(l_quantity / 5) * 5 AS value, count(*) AS n FROM lineitem GROUP BY 1")
@@ -432,11 +457,6 @@ def similarities(spark, d):
     return _pairs(spark, d).select("x", "y", _r(similarity.norm_levenshtein("x", "y").cast("double"), 4).alias("lev"), _r(similarity.jaro_winkler("x", "y").cast("double"), 4).alias("jw"))
 
 
-@query()
-def ngrams_and_sounds(spark, d):
-    return _pairs(spark, d).select("x", "y", similarity.ngram2("x", "y").alias("n2"), similarity.ngram3("x", "y").alias("n3"), similarity.dice_sorensen("x", "y").alias("dice"), similarity.metaphone("x").alias("sound"))
-
-
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS \"end\", count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     from tessera.streaming.windows import windowed
@@ -444,4 +464,4 @@ def event_windows(spark, d):
     return windowed(_t(spark, d, "events"), "ts", ["event_type"], "1 day", "1 hour", F.count("*").alias("n"))
 
 
-
+from tessera import query_details, query_sources  # noqa: E402, F401  they register their queries here

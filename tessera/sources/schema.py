@@ -241,44 +241,60 @@ def export_csv(df: DataFrame, path: str, n: int | None = None) -> None:
         f.write("\n".join(s.lines()) + "\n")
 
 
-_STAMPS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.S", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm:ss", "ddMMMyyyy:HH:mm:ss")
-_DATES = ("yyyyMMdd", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MM-dd-yyyy", "dd-MMM-yyyy", "ddMMMyyyy")
-_PY = {"yyyy": "%Y", "MMM": "%b", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S", "S": "%f", "'T'": "T"}
+_DATES = ("MM/dd/yyyy", "MM-dd-yyyy", "MMM/dd/yyyy", "MMM-dd-yyyy", "dd-MMM-yyyy", "ddMMMyyyy", "yyyy-MM-dd")
+_STAMPS = tuple(f"{d} HH:mm:ss{s}" for d in _DATES for s in ("", ".S"))
+_PARTS = {"yyyy": r"(?P<y>\d{1,4})", "MMM": "(?P<b>[A-Za-z]+)", "MM": r"(?P<m>\d{1,2})", "dd": r"(?P<d>\d{1,2})", "HH": r"(?P<H>\d{1,2})", "mm": r"(?P<M>\d{1,2})", "ss": r"(?P<S>\d{1,2})", "S": r"\d+"}
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_WHOLE, _REAL = 1_431_655_765, 3.4028234663852886e38 / 1.5
 
 
 def _fits(value: str, fmt: str) -> bool:
+    """Whether the whole text is a date or time of the format, all parts in their ranges; numbers may lack leading zeros."""
     import datetime as dt
 
-    py = re.sub("yyyy|MMM|MM|dd|HH|mm|ss|S|'T'", lambda m: _PY[m[0]], fmt)
+    m = re.fullmatch("".join(_PARTS.get(x, re.escape(x)) for x in re.findall("yyyy|MMM|MM|dd|HH|mm|ss|S|.", fmt)), value)
+    if not m:
+        return False
+    p = m.groupdict()
+    month = next((i + 1 for i, n in enumerate(_MONTHS) if p["b"].lower() in (n, n[:3])), 0) if "b" in p else int(p["m"])
     try:
-        dt.datetime.strptime(value, py)
-        return len(value) == len(fmt.replace("'", "")) or "S" in fmt
+        dt.datetime(int(p["y"]), month, int(p["d"]), int(p.get("H", 0)), int(p.get("M", 0)), int(p.get("S", 0)))
     except ValueError:
         return False
+    return True
+
+
+def _is(value: str, kind: str) -> bool:
+    if kind in ("Integer", "Long"):
+        return bool(re.fullmatch(r"[+-]?\d+", value)) and (-(2**31) <= int(value) < _WHOLE if kind == "Integer" else -(2**63) <= int(value) < 2**63)
+    if kind in ("Float", "Double"):
+        real = re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?\s*|[+-]?(NaN|Infinity)", value)
+        return bool(real) and (kind == "Double" or float(value.strip().rstrip("fFdD") or 0) < _REAL if not real[3] else real[3] == "Infinity" and value[0] == "-" or kind == "Double")
+    return value.lower() in ("true", "false") if kind == "Boolean" else kind == "String"
+
+
+#: What a column of a type becomes when a value doesn't fit it, in order of preference.
+_NEXT = {None: ("Integer", "Long", "Float", "Double", "Boolean"), "Integer": ("Integer", "Long", "Float", "Double"), "Long": ("Long", "Double"), "Float": ("Float", "Double"), "Double": ("Double",), "Boolean": ("Boolean",)}
+_COMPACT = "Date[yyyyMMdd]"
 
 
-def _kind_of(value: str) -> str:
-    for f in _STAMPS:
-        if _fits(value, f):
-            return f"Timestamp[{f}]"
-    for f in _DATES:
-        if _fits(value, f):
-            return f"Date[{f}]"
-    if re.fullmatch(r"[+-]?\d+", value):
-        return "Integer" if -(2**31) <= int(value) < 2**31 else "Long" if -(2**63) <= int(value) < 2**63 else "String"
-    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", value):
-        return "Float" if len(re.sub(r"\D", "", value)) <= 7 else "Double"
-    return "Boolean" if value.lower() in ("true", "false") else "String"
+def _compact_date(value: str) -> bool:
+    return bool(re.fullmatch(r"\d{8}", value)) and _fits(f"{value[:4]}-{value[4:6]}-{value[6:]}", "yyyy-MM-dd")
 
 
-def _promote(old: str | None, new: str) -> str:
-    if old is None or old == new:
-        return new
-    order = ["Integer", "Long", "Float", "Double"]
-    if old in order and new in order:
-        both = {old, new}
-        return "Double" if both & {"Float", "Double"} and "Long" in both else order[max(order.index(old), order.index(new))]
-    return "String"
+def promote(kind: str | None, value: str) -> str:
+    """The type of a column that had ``kind`` so far (None: no value yet) once it holds ``value`` too. Formats of dates and times don't change."""
+    if kind is None and _compact_date(value):
+        return _COMPACT
+    if kind == _COMPACT:
+        return kind if _compact_date(value) else next((k for k in ("Integer", "Long", "Float", "Double") if _is(value, k)), "String")
+    if kind in _NEXT:
+        found = next((k for k in _NEXT[kind] if _is(value, k)), None)
+        if found or kind:
+            return found or "String"
+        return next((f"Timestamp[{f}]" for f in _STAMPS if _fits(value, f)), None) or next((f"Date[{f}]" for f in _DATES if _fits(value, f)), "String")
+    m = re.fullmatch(r"(?:Timestamp|Date)\[(.*)\]", kind)
+    return kind if m and _fits(value, m[1]) else "String"
 
 
 def discover_schema(spark: SparkSession, path: str, n: int = 100_000, attributes: CsvAttributes = CsvAttributes(header=True)) -> TextSchema:
@@ -302,7 +318,7 @@ def discover_schema(spark: SparkSession, path: str, n: int = 100_000, attributes
         for i, v in enumerate(x.strip() for x in r):
             if v:
                 seen[i] = seen[i] or v
-                kinds[i] = _promote(kinds[i], _kind_of(v))
+                kinds[i] = promote(kinds[i], v)
     if not good:
         raise ValueError("no line fits the header")
     d = {"\t": "\\t", ";": "semicolon"}.get(attributes.delimiter, attributes.delimiter)
