@@ -15,9 +15,13 @@ result; other columns are not read; very long texts take linear time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import let
+
 _L = "A-Za-z0-9._%+-"
 #: kind → (a quick test for what every match holds, linear pattern)
 PATTERNS: dict[str, tuple[str, str]] = {
@@ -40,6 +44,8 @@ CONTEXT: dict[str, str] = {
 #: Score before context; a checksum counts for more than a shape.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 LIFT, REACH, MIN_SCORE = 0.3, 40, 0.5
+#: Spans that are folded at a time.
+CHUNK = 128
 
 
 def luhn(digits: Column) -> Column:
@@ -75,30 +81,79 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _chunks(array: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.floor((F.size(array) - 1) / CHUNK), F.lit(0)).cast("int"))
+
+
+def _chunk(array: Column, i: Column) -> Column:
+    return F.slice(array, i * CHUNK + 1, CHUNK)
+
+
+def _running(values: Column, start: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """The running value before each element. Appending copies what is there: only for as many elements as there are chunks, or as a chunk has."""
+    state = F.struct(start.cast("long").alias("now"), F.array().cast("array<bigint>").alias("seen"))
+    return F.aggregate(values, state, lambda acc, x: F.struct(add(acc["now"], x).cast("long").alias("now"), F.concat(acc["seen"], F.array(acc["now"])).alias("seen")))["seen"]
+
+
+def _starts(sizes: Column) -> Column:
+    """Sums of all sizes before each, chunk by chunk, so that time stays in proportion to their number."""
+    plus = lambda x, y: x + y
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), plus)
+
+    def of(s: Column) -> Column:
+        parts = F.transform(_chunks(s), lambda i: _chunk(s, i))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, _running(F.transform(p, total), F.lit(0), plus), lambda part, at: _running(part, at, plus))))
+
+    return let(sizes, of)
+
+
+#: Characters of an account number by country; a run may go on with other words after a blank.
+IBAN = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24,
+    "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21,
+    "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def _own(kind: str, m: Column) -> Column:
+    """The part of a match that is meant: an account number ends where its country's length says, if a blank follows there."""
+    if kind != "iban":
+        return m
+    n = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in IBAN.items()) + ")"), F.substring(m, 1, 2))
+    first = F.call_function("regexp_extract", m, F.concat(F.lit("^(?:[A-Z0-9]\\x20?){"), (F.coalesce(n, F.lit(34)) - 1).cast("string"), F.lit("}[A-Z0-9](?=\\x20)")), F.lit(0))
+    return F.when(F.length(F.translate(m, " ", "")) <= F.coalesce(n, F.lit(34)), m).when(first != "", first).otherwise(m)
+
+
 def find(text: Column, kind: str) -> Column:
     """All confirmed spans of one kind in order: array of (kind, start, end, score); code points, end exclusive."""
     test, pattern = PATTERNS[kind]
-    p = F.lit(pattern)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0))
-    # every match with the gap before it and the gap after it; only confirmed ones are kept, with the words near them
-    after = F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0)))
-    pairs = F.zip_with(F.zip_with(gaps, hits, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), after, lambda x, n: F.struct(x["g"].alias("g"), x["m"].alias("m"), n.alias("n")))
-
-    def one(end: Column, x: Column) -> Column:
-        near = F.concat(F.substring(x["g"], -REACH, REACH), F.lit("\n"), F.substring(x["n"], 1, REACH))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), LIFT).otherwise(0.0))
-        start = end + F.length(x["g"])
-        return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(x["m"])).cast("long").alias("end"), score.alias("score"))
-
-    found = F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("end"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["end"] + F.length(x["g"]) + F.length(x["m"])).cast("long").alias("end"),
-            F.when(_valid(kind, x["m"]), F.concat(acc["spans"], F.array(one(acc["end"], x)))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def spans(p: Column) -> Column:
+        """p: each match m with the gap g before it; last comes the text's rest, without a match."""
+
+        def near(x: Column, i: Column) -> Column:
+            # the REACH characters on either side, beyond the neighbouring match too
+            before, after, later = F.get(p, i - 1), F.get(p, i + 1), F.get(p, i + 2)
+            end = lambda c: F.coalesce(F.substring(c, -REACH, REACH), F.lit(""))
+            begin = lambda c: F.coalesce(F.substring(c, 1, REACH), F.lit(""))
+            left = F.concat(F.when(i > 0, F.concat(end(before["g"]), end(before["m"]))).otherwise(""), end(x["g"]))
+            return F.concat(end(left), F.lit("\n"), begin(F.concat(begin(after["g"]), begin(after["m"]), begin(later["g"]))))
+
+        sizes = F.transform(p, lambda x: (F.length(x["g"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("long"))
+
+        def one(x: Column, i: Column, at: Column) -> Column:
+            score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near(x, i).rlike(CONTEXT[kind]), LIFT).otherwise(0.0))
+            start = at + F.length(x["g"])
+            return F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), (start + F.length(_own(kind, x["m"]))).cast("long").alias("end"), score.alias("score"))
+
+        placed = F.zip_with(p, _starts(sizes), lambda x, at: F.struct(x["g"].alias("g"), x["m"].alias("m"), at.alias("at")))
+        found = F.transform(placed, lambda x, i: F.when(x["m"].isNotNull() & _valid(kind, _own(kind, x["m"])), one(x, i, x["at"])))
+        return F.array_compact(found)
+
+    found = let(F.zip_with(gaps, hits, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), spans)
     if kind not in BASE:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
     likely = text.rlike({"ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"}[kind]) if not test else F.contains(text, F.lit(test))
@@ -111,24 +166,41 @@ def pii_spans(docs: DataFrame, *, text: str = "text", out: str = "spans") -> Dat
     return docs.withColumn(out, F.concat(*(find(t, k) for k in PATTERNS)))
 
 
+def _said(text: Column, spans: Column) -> Column:
+    """The text with each span, in order, replaced by its kind; one that begins before the end of those before it is covered by them.
+
+    Chunk by chunk: a text's characters are counted from its beginning for each chunk, not for each span."""
+    parts = F.transform(_chunks(spans), lambda i: _chunk(spans, i))
+
+    def of(p: Column) -> Column:
+        most = F.transform(p, lambda part: F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), F.lit(0)).cast("long"))
+        seen = _running(most, F.lit(0), F.greatest)
+        last = F.array_max(most)
+
+        def one(part: Column, begin: Column, end: Column) -> Column:
+            own = F.substring(text, (begin + 1).cast("int"), (F.greatest(begin, end) - begin).cast("int"))
+            piece = lambda x, s: F.substring(x, (s["from"] - begin + 1).cast("int"), (s["to"] - s["from"]).cast("int"))
+            step = lambda acc, s: F.struct(
+                F.greatest(acc["end"], s["end"]).alias("end"),
+                F.when(s["start"] >= acc["end"], F.concat(acc["out"], F.array(F.struct(acc["end"].alias("from"), s["start"].alias("to"), F.upper(s["kind"]).alias("kind"))))).otherwise(acc["out"]).alias("out"),
+            )
+            kept = F.aggregate(part, F.struct(begin.alias("end"), F.array().cast("array<struct<from:bigint,to:bigint,kind:string>>").alias("out")), step)["out"]
+            return let(own, lambda x: F.array_join(F.transform(kept, lambda s: F.concat(piece(x, s), F.lit("<"), s["kind"], F.lit(">"))), ""))
+
+        placed = F.zip_with(p, F.zip_with(seen, most, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda part, at: one(part, at["a"], at["b"]))
+        return F.concat(F.array_join(placed, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
+
+    return let(parts, of)
+
+
 def redacted(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by ``<KIND>``; where spans overlap, the one that starts first covers, then the longer."""
-    spans = F.array_sort(
-        F.col("__pii"),
-        lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0),
-    )
-    with_spans = pii_spans(docs, text=text, out="__pii").withColumn("__pii", spans)
-    t = F.col(text)
-    done = F.aggregate(
-        F.col("__pii"),
-        F.struct(F.lit(0).cast("long").alias("end"), F.lit("").alias("said")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["end"],
-            F.struct(s["end"].alias("end"), F.concat(acc["said"], F.substring(t, (acc["end"] + 1).cast("int"), (s["start"] - acc["end"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("said")),
-        ).otherwise(F.struct(F.greatest(acc["end"], s["end"]).alias("end"), acc["said"].alias("said"))),
-        lambda acc: F.concat(acc["said"], F.substring(t, (acc["end"] + 1).cast("int"), F.length(t))),
-    )
-    return with_spans.withColumn(text, F.when(F.size("__pii") > 0, done).otherwise(t)).drop("__pii")
+    name = "__pii"
+    while name in docs.columns:
+        name += "_"
+    order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(0)
+    found = pii_spans(docs, text=text, out=name).withColumn(name, F.array_sort(name, order))
+    return found.withColumn(text, F.when(F.size(name) > 0, _said(F.col(text), F.col(name))).otherwise(F.col(text))).drop(name)
 
 
 def digest(spans: Column) -> Column:

@@ -47,6 +47,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL expresses too."""
+    return urls.url_rules(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -62,10 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_substring_dedup": op10_substring_dedup,
+    "url_rules": url_rules,
 }
 
 SQL: dict[str, str] = {
     "op3_embedding_dedup": vecdup.SQL,
     "op7_mixing": mixing.SQL,
     "op8_near_dedup": neardup.SQL,
+    "url_rules": urls.SQL,
 }

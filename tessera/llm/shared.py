@@ -41,6 +41,11 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 512) -> DataFrame:
     """``fn`` over slices of at most ``rows`` rows, so that a task's memory doesn't follow Arrow's batch size."""
 
