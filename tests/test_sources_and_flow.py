@@ -119,3 +119,34 @@ def test_flow(spark, tmp_path):
         flow.App(spark, config).run(A)
     with pytest.raises(ValueError):
         flow.App(spark, config).run(Bad)
+
+
+@pytest.mark.parametrize(("values", "kind"), [
+    (["12/06/2012 10:22:14.0"], "Timestamp[MM/dd/yyyy HH:mm:ss.S]"), (["May-01-1905 23:11:01"], "Timestamp[MMM-dd-yyyy HH:mm:ss]"), (["01May1905 23:11:01.125"], "Timestamp[ddMMMyyyy HH:mm:ss.S]"),
+    (["2018-01-01 10:22:14"], "Timestamp[yyyy-MM-dd HH:mm:ss]"), (["1/2/2012"], "Date[MM/dd/yyyy]"), (["31-Jan-1999", "1-December-2001"], "Date[dd-MMM-yyyy]"), (["2018-01-01", "01/02/2018"], "String"), (["20150102", "20151302"], "Integer"),
+    (["1", "2.5"], "Float"), (["1", "3000000000"], "Long"), (["3000000000", "1.5"], "Double"), (["1.5", "1e300"], "Double"), (["true", "FALSE"], "Boolean"), (["true", "1"], "String"), (["13/13/2012"], "String"), (["1500000000"], "Long"),
+])
+def test_discovered_kinds(values, kind):
+    from tessera.sources.schema import promote
+
+    found = None
+    for v in values:
+        found = promote(found, v)
+    assert found == kind
+
+
+def test_storage(spark, tmp_path):
+    from tessera.sources.storage import Storage
+
+    s, root = Storage(spark), f"file://{tmp_path}/a"
+    s.write(f"{root}/x/é.txt", "texté\n")
+    assert s.read(f"{root}/x/é.txt") == "texté\n" and s.exists(f"{root}/x") and not s.exists(f"{root}/y")
+    assert s.create(f"{root}/lock") and not s.create(f"{root}/lock") and s.modified(f"{root}/lock") > 0
+    assert [(e.name, e.folder) for e in s.list(root)] == [("lock", False), ("x", True)]
+    assert s.move(f"{root}/x", f"{root}/z") and s.purge(root, {"z"}) == ["lock"] and s.delete(root) and not s.delete(root)
+
+
+def test_properties_and_connections():
+    p = flow.properties("# c\n! c\na = 1\nb: two \\\n  words\nc\n con.db.type = jdbc\ncon.db.url=jdbc:x=y\n")
+    assert p == {"a": "1", "b": "two words", "c": "", "con.db.type": "jdbc", "con.db.url": "jdbc:x=y"}
+    assert flow.connections(p) == {"db": tables.Connection("db", "jdbc", {"url": "jdbc:x=y"})}
