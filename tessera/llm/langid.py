@@ -161,14 +161,15 @@ class Scorer:
 
 
 def fit(docs: DataFrame, *, per_language: int = 400, max_chars: int = 65_536) -> Net | None:
-    """Learns from at most ``per_language`` documents of each language, none held out."""
+    """Learns from at most ``per_language`` documents of each language, none held out and none longer than ``max_chars``; of each from at most eight of its windows,
+    taken at random (``per_text`` of ``train``). An id that repeats counts once: what is collected is bounded by these numbers."""
     d = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = d.select("lang", "doc_id", F.xxhash64("doc_id", F.length("text")).alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     chosen = F.broadcast(ids.select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), F.col("h").alias("x")))  # per_language ids a language
     own = d.select("lang", "doc_id", "text", F.xxhash64("doc_id", F.length("text")).alias("h"))
     same = (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("x"))
-    rows = sorted(own.join(chosen, same, "left_semi").select("lang", "text").collect())
+    rows = sorted(own.join(chosen, same, "left_semi").groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).select("lang", "text").collect())
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

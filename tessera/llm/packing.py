@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import map_arrow
+from tessera.llm.shared import map_arrow, written
 
 WINDOW, END_ID, SHARD_ROWS = 2048, 1, 100_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -149,12 +149,15 @@ def _pack_shard(window: int) -> Callable[[pa.Table], pa.Table]:
 
 
 def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per piece: ``PACKED``. A sequence's pieces lie in it without gaps from 0."""
-    shards = max(1, math.ceil(docs.count() / shard_rows))
-    p = pieces(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, window=window, end_id=end_id)
-    # by id and start: the full windows of one very long document don't meet in one shard
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
-    return p.groupBy("shard").applyInArrow(_pack_shard(window), PACKED)
+    """One row per piece: ``PACKED``. A sequence's pieces lie in it without gaps from 0.
+
+    Full windows are sequences as they are: only remainders, of which a document has one at most, are grouped, about ``shard_rows`` to a task."""
+    p = written(pieces(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, window=window, end_id=end_id), "pieces")
+    full, rest = p.where(F.col("length") == window), p.where(F.col("length") < window)
+    shards = max(1, math.ceil(rest.count() / shard_rows))
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    numbered = full.select("*", (F.monotonically_increasing_id() + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return rest.groupBy("shard").applyInArrow(_pack_shard(window), PACKED).union(numbered)
 
 
 def unpack(packed: Iterator[dict]) -> dict[int | None, list[tuple[int, int]]]:

@@ -289,11 +289,12 @@ def score(net: Net | None, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 1200, max_chars: int = 65_536) -> Net | None:
-    """Learns from at most ``max_per_class`` documents of each label, none held out."""
+    """Learns from at most ``max_per_class`` documents of each label, none held out and none longer than ``max_chars``. An id that repeats counts once with each label."""
     d = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= max_chars)).select("doc_id")
     own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", "toxic").distinct().join(d, "doc_id", "left_semi")
     chosen = own.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class).union(own.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id").collect()  # 2 * max_per_class ids at most
+    own = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")  # 2 * max_per_class ids at most
+    rows = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 

@@ -155,3 +155,104 @@ def test_best_fit_is_tightest():
             left.append(64)
         left[s] -= length
     assert n == len(left)
+
+
+def test_toxicity_scores_against_plain_loops():
+    """Whole texts, short and very long: every window of words, one word after the other in both directions, attention, and the worst window."""
+    rng, net = random.Random(5), toxicity.Net.new(2)
+    texts = [prose(rng, "en", n) for n in (1, 2, toxicity.STEPS - 1, toxicity.STEPS, toxicity.STEPS + 1, 3 * toxicity.STEPS + 5, 700)] + [None, "", "Idiot! idiot"]
+    h, sig = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+
+    def gru(xs, way):
+        state, out = np.zeros(h), []
+        for x in xs:
+            g, a = x @ net.p["wx"][way] + net.p["bx"][way][0], state @ net.p["uh"][way]
+            r, z = sig(g[:h] + a[:h]), sig(g[h : 2 * h] + a[h : 2 * h])
+            state = state + z * (np.tanh(g[2 * h :] + r * a[2 * h :]) - state)
+            out.append(state)
+        return out
+
+    def one(text):
+        words = (text or "").lower().split()
+        if not words:
+            return 0.0
+        own = toxicity._Texts([text])
+        vectors = net.embed(*toxicity._inputs(own.words))[own.docs[0]]
+        assert len(vectors) == len(words)
+        starts = [*range(0, len(words) - toxicity.STEPS, toxicity.STRIDE), max(0, len(words) - toxicity.STEPS)]
+        scores = []
+        for s in starts:
+            xs = vectors[s : s + toxicity.STEPS]
+            both = [np.concatenate(p) for p in zip(gru(xs, 0), gru(xs[::-1], 1)[::-1], strict=True)]
+            e = np.array([np.tanh(o @ net.p["wa"]) @ net.p["va"] for o in both])
+            w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            scores.append(sig(sum(a * o for a, o in zip(w, both, strict=True)) @ net.p["wo"] + net.p["bo"][0]))
+        return max(scores)
+
+    assert np.allclose(toxicity.score(net, texts), [one(t) for t in texts], atol=1e-5)
+
+
+def test_language_scores_against_plain_loops():
+    """Whole texts, short and very long: every filter at every place of every window, the largest value, softmax, and the mean."""
+    rng, r = random.Random(6), np.random.default_rng(4)
+    k = len(langid.WIDTHS) * langid.FILTERS
+    net = langid.Net(["a", "b", "c"], r.standard_normal((256, langid.DIM)).astype(np.float32), [r.standard_normal((n, langid.DIM, langid.FILTERS)).astype(np.float32) for n in langid.WIDTHS], r.standard_normal(k).astype(np.float32), r.standard_normal((k, 3)).astype(np.float32), np.zeros(3, np.float32))
+    net.embed[0] = 0
+    texts = [prose(rng, "de", n) for n in (1, 30, 90, 400)] + ["é", "1 2", "", None]
+
+    def one(text):
+        raw = (text or "").encode()
+        if not any(map(str.isalpha, text or "")):
+            return "und", 0.0
+        step = langid.WINDOW - max(langid.WIDTHS) + 1
+        starts = [0]
+        while starts[-1] + langid.WINDOW < len(raw):
+            starts.append(starts[-1] + step)
+        total = np.zeros(3)
+        for s in starts:
+            b = raw[s : s + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            f = np.concatenate([np.max([sum(net.embed[b[i + j]] @ flt[j] for j in range(n)) for i in range(langid.WINDOW - n + 1)], axis=0) for n, flt in zip(langid.WIDTHS, net.filters, strict=True)])
+            z = np.maximum(f + net.bias, 0) @ net.out + net.base
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return net.langs[int(total.argmax())], total.max() / len(starts)
+
+    langs, scores = langid.Scorer(net)(texts)
+    want = [one(t) for t in texts]
+    assert langs == [w[0] for w in want] and np.allclose(scores, [w[1] for w in want], atol=1e-4)
+
+
+def test_fast_ids_are_those_of_tokenizers(spark):
+    """Over every whole text of the tables: what computes ids fast computes the same ids."""
+    import os
+
+    import pytest
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    if not os.path.exists("/root/testdata/sf0.1/documents.parquet"):
+        pytest.skip("no tables")
+    texts = [r["text"] for t, c in (("documents", "text"), ("conversations", "text"), ("benchmark", "text")) for r in spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").where(f"{c} IS NOT NULL").select(F.col(c).alias("text")).collect()]
+    encode, before = packing.encoder(path), os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    try:
+        slow = Tokenizer.from_file(path)
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            assert encode(part) == [e.ids for e in slow.encode_batch(part, add_special_tokens=False)]
+    finally:
+        os.environ["TOKENIZERS_PARALLELISM"] = before or "false"
+
+
+def test_what_is_collected_for_training_is_bounded(spark, docs):
+    """An id that repeats ten thousand times is learned from once."""
+    d = docs(*["le chat noir est là"] * 5, *["the black cat"] * 5, langs=["fr"] * 5 + ["en"] * 5)
+    many = d.union(d.where("doc_id = 1").crossJoin(spark.range(10_000)).drop("id"))
+    seen = {}
+    for module, call in ((langid, lambda: langid.fit(many.select("doc_id", "text", "lang"))), (toxicity, lambda: toxicity.fit(many.select("doc_id", "text"), spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, toxic int")))):
+        train = module.train
+        module.train = lambda texts, labels, name=module.__name__, **kw: seen.setdefault(name, len(texts)) and None
+        try:
+            call()
+        finally:
+            module.train = train
+    assert max(seen.values()) <= 10 and len(seen) == 2
