@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and its result is written and read again as the next one's
 documents. All stages but the last return the columns of documents.
+
+Defined cases: an empty table passes through all stages and gives no pieces; without labels nothing is toxic; a null or empty text is kept, is no copy, holds no
+personal data and is never taken by the mix (it has no words); a null id is kept and is no copy; a null source is a source of its own; rows that repeat an id with
+equal text are copies, of which one stays; very long texts are read whole; further columns are carried along to the last stage, whatever their names.
 """
 
 from __future__ import annotations
