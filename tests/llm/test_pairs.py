@@ -364,3 +364,25 @@ def test_pipeline(spark, docs, tmp_path):
         pieces[r["doc_id"]] += r["start"] == 0
     assert pieces == copies
     assert p.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_pipeline_cases(spark, docs, tmp_path):
+    """No rows, no labels; null columns, a very long text, repeated rows, columns that clash."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(60_000))
+    d = docs("one two three four five six", None, "", long, "one two three four five six", "no id here at all", "mail me a@b.co today", ids=[1, 2, 3, 4, 1, None, 6], sources=["a", None, "a", "b", "a", None, "c"])
+    d = d.withColumn("__pii", F.lit(1)).withColumn("__mix_rank", F.lit("x"))
+    for rows, want in ((d.where("false"), {}), (d, {1: 1, 4: 1, None: 1, 6: 1})):
+        now = rows
+        for i, (_, stage) in enumerate(p.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            if i < 4:
+                assert now.columns == rows.columns
+            if i == 2 and want:
+                kept = {r["doc_id"]: r["text"] for r in now.collect()}
+                assert set(kept) == {1, 2, 3, 4, None, 6} and kept[6] == "mail me <EMAIL> today" and kept[4] == long and now.count() == 6
+        got = now.where("start = 0").groupBy("doc_id").count().collect()
+        assert {r["doc_id"]: min(1, r["count"]) for r in got} == want and all(r["count"] <= 3 for r in got)
