@@ -1,8 +1,11 @@
 """Near-duplicate embeddings: a forest of random-projection trees with spill overlap, compared within leaves, verified and united.
 
 1. Equal vectors of one label are one class; its smallest id stands for it (a group of copies is one vector from here on).
-2. Each tree splits recursively along random directions near the median of a bounded sample (``SAMPLE`` vectors on the driver). A vector within the
-   overlap of a split goes to both sides; a pair at the threshold is parted by one tree with probability under 0.07, by all ``TREES`` under 2e-6.
+2. Each tree splits recursively along random directions near the median of a bounded sample (``SAMPLE`` vectors on the driver). Where the sample is too small to
+   split on, leaves that would still get too many rows are split further along random directions through the centre of the sample that they hold, as often as
+   their expected size asks for: leaves stay bounded at any number of rows, and what is sent to the executors doesn't grow with it. A vector within the
+   overlap of a split goes to both sides; a pair at the threshold is parted by one split with probability of about 0.01, and there are as many trees (``TREES`` or
+   more, by the logarithm of the rows) as leave all of them with under 2e-6.
 3. One Arrow pass sends every vector down all trees. Leaves of one label are compared as matrices, in double precision. A pair counts only in its first
    common leaf, so each leaf sends on sums of links and a spanning star of its components, never its pairs.
 4. A leaf of more than ``BLOCK`` members is cut into blocks, and all pairs of blocks are compared: no cap, and bounded memory.
@@ -56,6 +59,9 @@ class Tree:
     at: np.ndarray
     children: np.ndarray  # (nodes, 2); a leaf has -1
     overlap: float
+    levels: np.ndarray  # further splits of a leaf
+    centres: np.ndarray
+    turns: np.ndarray  # (dim, levels): their directions, the same for all leaves
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf that a row reaches."""
@@ -65,8 +71,13 @@ class Tree:
             if not len(r):
                 continue
             if self.children[node, 0] < 0:
+                code = np.zeros(len(r), np.int64)
+                for k in range(self.levels[node]):
+                    p = (x[r] - self.centres[node]) @ self.turns[:, k]
+                    low, high = p <= self.overlap, p >= -self.overlap
+                    r, code = np.concatenate([r[low], r[high]]), np.concatenate([code[low] * 2, code[high] * 2 + 1])
                 rows.append(r)
-                leaf.append(np.full(len(r), node))
+                leaf.append((code << 15) + node)
                 continue
             p = x[r] @ self.directions[node] - self.at[node]
             todo += [(self.children[node, 0], r[p <= self.overlap]), (self.children[node, 1], r[p >= -self.overlap])]
@@ -74,18 +85,22 @@ class Tree:
 
 
 def grow(sample: np.ndarray, rows: int, threshold: float, seed: int, leaf: float = LEAF) -> Tree:
-    """A tree over unit vectors whose leaves get about ``leaf`` of ``rows`` vectors."""
+    """A tree over unit vectors whose leaves get about ``leaf`` of ``rows`` vectors, at most about four times as many."""
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     overlap = OVERLAP * math.sqrt(max(0.0, 2 - 2 * threshold) / dim)
     scale = rows / max(1, len(sample))
-    directions, at, children = [], [], []
+    directions, at, children, levels, centres = [], [], [], [], []
+    deep = 32 * scale > leaf
+    enough = 32 if deep else 8  # a centre that leaves are split through wants more of the sample
 
     def node(members: np.ndarray) -> int:
         me = len(at)
         directions.append(np.zeros(dim))
         at.append(0.0)
         children.append([-1, -1])
-        if len(members) * scale > leaf and len(members) >= 8:
+        levels.append(min(16, math.ceil(math.log2(max(1.0, len(members) * scale / leaf)))) if deep else 0)
+        centres.append(sample[members].mean(axis=0) if deep and len(members) else np.zeros(dim if deep else 0))
+        if len(members) * scale > leaf and len(members) >= enough:
             d = rng.standard_normal(dim)
             d /= np.linalg.norm(d)
             p = sample[members] @ d
@@ -97,7 +112,14 @@ def grow(sample: np.ndarray, rows: int, threshold: float, seed: int, leaf: float
         return me
 
     node(np.arange(len(sample)))
-    return Tree(np.array(directions), np.array(at), np.array(children), overlap)
+    turns = rng.standard_normal((dim, max(levels)))
+    return Tree(np.array(directions), np.array(at), np.array(children), overlap, np.array(levels), np.array(centres), turns / np.maximum(np.linalg.norm(turns, axis=0), 1e-9))
+
+
+def tree_count(rows: int, leaf: float, least: int = TREES) -> int:
+    """So many trees that all of them part a pair at the threshold with probability under 2e-6: deeper ones part it more often."""
+    parted = min(0.5, 0.0105 * max(1.0, math.log2(max(1.0, rows / leaf))))
+    return max(least, math.ceil(math.log(2e-6) / math.log(parted)))
 
 
 def _route(classes: DataFrame, trees: list[Tree], dim: int) -> DataFrame:
@@ -180,7 +202,7 @@ def near_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "e
         room = leaf * max(1.0, count * count / square)
         picked = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
         sample = unit(matrix(picked.column("v").combine_chunks(), dim))
-        forest = [grow(sample, count, threshold, seed, room) for seed in range(trees)]
+        forest = [grow(sample, count, threshold, seed, room) for seed in range(tree_count(count, room, trees))]
         routed = written(_route(own, forest, dim), "leaves")
         blocks = routed.groupBy("leaf", "label").count().select("leaf", "label", F.ceil(F.col("count") / BLOCK).cast("int").alias("nb"))
         many = routed.join(blocks.where("nb > 1"), ["leaf", "label"], "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))

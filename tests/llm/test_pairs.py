@@ -386,3 +386,32 @@ def test_pipeline_cases(spark, docs, tmp_path):
                 assert set(kept) == {1, 2, 3, 4, None, 6} and kept[6] == "mail me <EMAIL> today" and kept[4] == long and now.count() == 6
         got = now.where("start = 0").groupBy("doc_id").count().collect()
         assert {r["doc_id"]: min(1, r["count"]) for r in got} == want and all(r["count"] <= 3 for r in got)
+
+
+@pytest.mark.parametrize("rows", [50_000, 10**6, 10**8])
+def test_leaves_stay_bounded(rows):
+    """Leaves don't grow with the table, though the sample stays as it is; pairs at the threshold still meet in some tree."""
+    rng = np.random.default_rng(0)
+    x = vecdup.unit(rng.standard_normal((60_000, 64)))
+    sample, probe = x[: vecdup.SAMPLE], x[vecdup.SAMPLE :]
+    d = rng.standard_normal((2000, 64))
+    a = probe[:2000]
+    d = vecdup.unit(d - np.einsum("ij,ij->i", d, a)[:, None] * a)
+    b = 0.981 * a + np.sqrt(1 - 0.981**2) * d
+    met = np.zeros(2000, bool)
+    for seed in range(vecdup.tree_count(rows, vecdup.LEAF)):
+        tree = vecdup.grow(sample, rows, 0.98, seed)
+        _, leaf = tree.leaves(probe)
+        size = np.bincount(np.unique(leaf, return_inverse=True)[1])
+        # of a leaf's rows by size: where a row of it finds itself
+        mean = (size.astype(float) ** 2).sum() / size.sum() * rows / len(probe)
+        assert rows > 10**6 or mean <= 4 * vecdup.LEAF
+        assert tree.directions.nbytes + tree.centres.nbytes < 8e6 and tree.children.shape[0] < 1 << 15
+        if rows > 10**6:  # too few probes to a leaf: count rows by the share of the nodes, and the splits beyond
+            own = np.flatnonzero(tree.children[:, 0] < 0)
+            share = np.bincount(leaf & 0x7FFF, minlength=len(tree.levels))[own] / len(probe)
+            assert (share * rows / 2.0 ** tree.levels[own]).max() <= 8 * vecdup.LEAF
+        (ra, la), (rb, lb) = tree.leaves(a), tree.leaves(b)
+        together = np.intersect1d((la << 20) + ra, (lb << 20) + rb)
+        met[together & ((1 << 20) - 1)] = True
+    assert met.mean() >= 0.9995
