@@ -97,14 +97,19 @@ def bin_histogram(df: DataFrame, keys: Sequence[str], columns: dict[str, int] |
     own = df.select(*keys, *(F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(names)))
     bounds = own.groupBy(*keys).agg(*(f(f"__v{i}").alias(f"__{n}{i}") for i in range(len(names)) for n, f in (("lo", F.min), ("hi", F.max))))
 
-    def cell(i: int) -> Column:
+    def place(i: int) -> Column:
         v, lo, width = F.col(f"__v{i}"), F.col(f"__lo{i}"), (F.col(f"__hi{i}") - F.col(f"__lo{i}")) / sizes[i]
-        b = F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(sizes[i] - 1))).otherwise(0)
-        low = lo + b * width
-        return F.when(v.isNotNull(), F.struct(F.lit(i).alias("__i"), low.alias("__low"), (low + width).alias("__high")))
-
-    cells = null_safe_join(own, bounds, keys).select(*keys, F.explode(F.array_compact(F.array(*map(cell, range(len(names)))))).alias("__c")).select(*keys, "__c.*")
-    n = cells.groupBy(*keys, "__i", "__low", "__high").count()
-    bins = F.struct(F.col("__low").alias("low"), F.col("__high").alias("high"), F.col("count").alias("n"))
+        return F.when(v.isNotNull(), F.when(width > 0, F.least(F.floor((v - lo) / width), F.lit(sizes[i] - 1))).otherwise(0).cast("int"))
+
+    near = null_safe_join(own, bounds, keys)
+    if len(names) == 1:
+        cells = near.select(*keys, F.lit(0).alias("__i"), place(0).alias("__b"))
+    else:
+        cells = near.select(*keys, F.posexplode(F.array(*map(place, range(len(names))))).alias("__i", "__b"))
+    n = null_safe_join(cells.where("__b IS NOT NULL").groupBy(*keys, "__i", "__b").count(), bounds, keys)
+    of = lambda c: F.element_at(F.array(*(F.col(f"__{c}{i}") for i in range(len(names)))), F.col("__i") + 1)
+    width = (of("hi") - of("lo")) / F.element_at(F.array(*map(F.lit, sizes)), F.col("__i") + 1)
+    low = of("lo") + F.col("__b") * width
+    bins = F.struct(low.alias("low"), (low + width).alias("high"), F.col("count").alias("n"))
     arrays = [F.array_sort(F.collect_list(F.when(F.col("__i") == i, bins))) for i in range(len(names))]
     return n.groupBy(*keys).agg(*(F.when(F.size(a) > 0, a).alias(c + postfix) for a, c in zip(arrays, names, strict=True)))

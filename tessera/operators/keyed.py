@@ -53,10 +53,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     more = [c for c in right.columns if c not in keys]
     if not keys:
         return left.join(F.broadcast(right), how="cross")  # an aggregate without keys has one row
-    names = {k: unique_name([*left.columns, *right.columns], f"__{k}") for k in keys}
-    other = right.withColumnsRenamed(names)
-    on = [left[k].eqNullSafe(other[names[k]]) for k in keys]
-    return left.join(other, on, how).select(*(left[c] for c in left.columns), *(other[c] for c in more))
+    # names, not references, tell the sides apart: both may come from one frame
+    names = {c: unique_name([*left.columns, *right.columns], f"__right_{i}") for i, c in enumerate([*keys, *more])}
+    named = lambda c: F.col(f"`{c}`")
+    on = [named(k).eqNullSafe(named(names[k])) for k in keys]
+    return left.join(right.select(*(named(c).alias(n) for c, n in names.items())), on, how).select(*map(named, left.columns), *(named(names[c]).alias(c) for c in more))
 
 
 _RUNNING = ("avg", "sum", "count", "min", "max", "first", "last")
