@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 1. A bounded sample (``SAMPLE`` vectors on the driver) is halved again and again at the median along its main direction: the parts are equal, and their means
-   are the centroids, about one for ``LIST`` vectors, ``MAX_LISTS`` at most.
+   are the centroids, about one for ``LIST`` vectors, ``MAX_LISTS`` at most: beyond MAX_LISTS * LIST vectors lists get longer, and a query reads the same
+   share of the table rather than the same number of rows (always whole lists, so that nothing is lost by it).
 2. Centroids are the nodes of a neighbour graph in memory, searched best-first; that and the centroids is all that executors are sent (a bounded size).
 3. Every vector goes to its nearest centroid's list, and, if it lies at a boundary, to those of up to ``REPLICAS`` centroids within ``CLOSURE`` times the least distance.
 4. A query reads the lists whose centroids are within ``ratio`` times its least distance. The ratio is learned: on ``PROBES`` sample queries with exact
