@@ -8,15 +8,14 @@
 3. Windows of a group with the same surroundings (``reach`` places to either side) are one class, for which one of them stands: copies are counted, never paired.
 4. Classes of a group are joined as intervals around the centre. Equal runs of the least length: every run through the centre is hashed, equal hashes are one
    cluster around its smallest document; linear, no leader, nothing lost. Near-duplicates: equal runs of ``seed`` around the centre, carried on over edits, at
-   ``percent`` or more of the union. Groups of at most ``SMALL`` classes compare all; of larger ones, classes that have fewer places in common with other
-   documents than verification asks for go, and the rest meet leaders, each compared with all, until every class that no equal run covers has led or met one
-   that is near; so does one class of each set of documents that equal runs connect.
+   ``percent`` or more of the union. All pairs of a group are compared. Those of more than ``SMALL`` classes leave out only what can't change a result: classes
+   that have fewer places in common with other documents than verification asks for, and pairs that are linked already and have nothing left to share that
+   smaller documents didn't give them. Variants of one template so take linear time; at worst it is quadratic in the group's classes.
 5. A group of more than ``BLOCK`` classes is cut into blocks, and every two blocks meet in a task of their own.
 6. Members take over their class's passages; links give components by distributed star contraction.
 
-What is certain: every run of ``words`` equal words of two documents is in the spans of both, and they share a component. (Places are compared by 16 bits of their
-hashes: a passage one word short of the least length is taken for whole once in 65,536.) Near passages with an edit of more than
-four words inside, or, in groups of more than ``SMALL`` classes, links between two classes that follow different leaders, can be missed.
+What is certain: every run of ``words`` equal words of two documents is in the spans of both, and they share a component. (Places are compared by 32 bits of their
+hashes.) Groups of any size give what comparing all their pairs gives. Near passages with an edit of more than four words inside can be missed.
 
 Result: a row for every document that shares a passage, none for others: doc_id, n_passages, dup_words, spans (start:end in words, end exclusive,
 comma-joined), cut_spans (those parts that a document of smaller id has: what deduplication removes), component_id (smallest doc_id reachable by shared passages).
@@ -39,10 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm.components import components
 from tessera.llm.shared import WordHashes, map_arrow, mix64, shingles, split_words, written
 
-WIDTH, WORDS, BATCH, BLOCK, SMALL = 5, 50, 512, 4096, 32
+WIDTH, WORDS, BATCH, BLOCK, SMALL, PAIRS = 5, 50, 512, 4096, 32, 20_000
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
-_NONE = 0xFFFF
+_NONE = 0xFFFFFFFF
 _state: dict[str, WordHashes] = {}
 
 
@@ -89,6 +88,11 @@ class Shape:
         """Edits that a passage of the least length may have."""
         return max(1, self.least * (100 - self.percent) // (self.width * (100 + self.percent)))
 
+    @property
+    def shift(self) -> int:
+        """How far the edits on one side of a centre may shift what follows."""
+        return self.edits * max(abs(a - b) for a, b in self.gaps)
+
     @property
     def gaps(self) -> list[tuple[int, int]]:
         """Shingles that an edit breaks on either side: of a words into b words."""
@@ -225,7 +229,7 @@ def _members(seqs: DataFrame, p: Shape) -> DataFrame:
 
 
 def _views(reps: DataFrame, p: Shape) -> DataFrame:
-    """The places around each centre, 16 bits each."""
+    """The places around each centre, 32 bits each."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         s, starts, ends = _joined(batch, "seq")
@@ -238,9 +242,9 @@ def _views(reps: DataFrame, p: Shape) -> DataFrame:
         if not len(there):
             return None
         place = c[there, None] + np.arange(-p.reach, p.reach + 1)
-        out = np.minimum(s[np.clip(place, 0, len(s) - 1)] & np.uint32(0xFFFF), np.uint32(_NONE - 1)).astype(np.uint16)
+        out = np.minimum(s[np.clip(place, 0, len(s) - 1)], np.uint32(_NONE - 1))
         out[(place < starts[own[there], None]) | (place >= ends[own[there], None])] = _NONE
-        size = 2 * (2 * p.reach + 1)
+        size = out.itemsize * (2 * p.reach + 1)
         view = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((np.arange(len(there) + 1) * size).astype(np.int32)), pa.py_buffer(out.tobytes())])
         take = pa.array(there)
         return pa.RecordBatch.from_arrays([*(each.field(n).take(take) for n in ("key", "same", "lo", "hi", "blocks")), view], names=["key", "same", "lo", "hi", "blocks", "view"])
@@ -280,7 +284,7 @@ def _shifted_equal(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
 
 def near_passages(a: np.ndarray, b: np.ndarray, p: Shape) -> tuple[np.ndarray, ...]:
     """For views in pairs: 1 where there is a near passage through the centre (2: just an equal one), and its first and last place in a and in b, from the centre."""
-    empty = np.full((len(a), 1), _NONE, np.uint16)
+    empty = np.full((len(a), 1), _NONE, np.uint32)
     kind, sa, ea, sb, eb = (np.zeros(len(a), np.int64) for _ in range(5))
     e = (a == b) & (a != _NONE)
     right, left = _first_false(e[:, p.reach :]), _first_false(e[:, p.reach - 1 :: -1]) if p.reach else np.zeros(len(a), np.int64)
@@ -346,34 +350,110 @@ def _equal_runs(view: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndar
     return row[at], place[at] - p.reach, place[end] - p.reach + p.least - 1, m[at]
 
 
-def _shared_places(view: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """For each row of one group, how many places hold a shingle that another document has too: no near passage can have more equal ones."""
-    least, most = np.full(1 << 16, np.iinfo(np.int64).max), np.full(1 << 16, np.iinfo(np.int64).min)
-    np.minimum.at(least, view, np.broadcast_to(lo[:, None], view.shape))
-    np.maximum.at(most, view, np.broadcast_to(hi[:, None], view.shape))
-    several = least != most
-    several[_NONE] = False
-    return several[view].sum(axis=1)
-
-
-def _leaders(shared: np.ndarray, lo: np.ndarray, covered: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of one group that must meet all others, those that share most first: all that no equal run covers, and one for each set of documents that equal
-    runs (a, b: their documents) connect. A single such set needs none."""
-    up = {}
-
-    def find(x: int) -> int:
-        while up.setdefault(x, x) != x:
+def _shared_places(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: int) -> np.ndarray:
+    """For each row of one group, which places hold a shingle that another document has there or up to ``shift`` places beside: a near passage has no other equal
+    ones, and ends at such."""
+    places = view.shape[1]
+    code = ((np.arange(places) << 32) + view).ravel()
+    known, which = np.unique(code, return_inverse=True)
+    least, most = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+    np.minimum.at(least, which, np.repeat(lo, places))
+    np.maximum.at(most, which, np.repeat(hi, places))
+    low, high = least[which], most[which]
+    for d in range(-shift, shift + 1):
+        other = code + (d << 32)
+        at = np.minimum(np.searchsorted(known, other), len(known) - 1)
+        there = known[at] == other
+        low, high = np.where(there, np.minimum(low, least[at]), low), np.where(there, np.maximum(high, most[at]), high)
+    return ((low != high) & (view.ravel() != _NONE)).reshape(view.shape)
+
+
+def _widening(row: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Spans (row, s, e, m) by row and m, those of one partner as one, and whether partners of smaller m leave any of it out."""
+    order = np.lexsort((m, row))
+    row, s, e, m = row[order], s[order], e[order], m[order]
+    at = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(m, prepend=m[:1]) != 0))
+    if len(at):
+        row, m, s, e = row[at], m[at], np.minimum.reduceat(s, at), np.maximum.reduceat(e, at)
+    most = np.stack([np.maximum.accumulate(row * 4 * words - s), np.maximum.accumulate(row * 4 * words + e)])
+    return row, s, e, m, (np.diff(row, prepend=-1) != 0) | (np.diff(most, prepend=-1, axis=1) > 0).any(axis=0)
+
+
+class _Sets:
+    """Numbers from 0 to n - 1 in sets that are united pair by pair."""
+
+    def __init__(self, n: int):
+        self.up, self.set = list(range(n)), np.arange(n)
+
+    def _find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist():
-        up[find(x)] = find(y)
-    order = np.lexsort((lo, -shared))
-    sets, first = [find(x) for x in lo[order].tolist()], {}
-    for i, x in zip(order.tolist(), sets, strict=True):
-        first.setdefault(x, i)
-    own = set(first.values()) if len(first) > 1 else set()
-    return np.array([i for i in order.tolist() if not covered[i] or i in own], np.int64)
+    def unite(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs have united two sets."""
+        apart = np.flatnonzero(self.set[a] != self.set[b])
+        _, first = np.unique(self.set[a[apart]] * len(self.up) + self.set[b[apart]], return_index=True)
+        united = []
+        for at in apart[first].tolist():
+            x, y = self._find(int(a[at])), self._find(int(b[at]))
+            if x != y:
+                self.up[x] = y
+                united.append(at)
+        if united:
+            self.set = np.array([self._find(x) for x in range(len(self.up))])
+        return np.array(united, np.int64)
+
+
+def _large_group(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, equal: tuple[np.ndarray, ...], p: Shape) -> Iterator[tuple[np.ndarray, ...]]:
+    """Spans (row, s, e, m) of the near passages of all pairs of rows of one group; equal: those of its equal runs. What changes nothing is left out: a span that
+    partners of smaller documents cover, unless it links what nothing else has linked; so a pair is not compared if the two are linked and both have,
+    with documents no larger than the pair's smaller, all that they could share with any."""
+    mine = np.arange(len(view))
+    while True:  # rows that share too little with all others go; then others may share too little
+        places = _shared_places(view[mine], lo[mine], hi[mine], p.shift)
+        enough = places.sum(axis=1) >= p.need
+        mine, places = mine[enough], places[enough]
+        if enough.all() or not len(mine):
+            break
+    order = np.argsort(lo[mine], kind="stable")
+    mine, places, n = mine[order], places[order], len(mine)
+    view, lo, hi = view[mine], lo[mine], hi[mine]
+    if n < 2:
+        return
+    first, last = places.argmax(axis=1) - p.reach, p.reach - places[:, ::-1].argmax(axis=1)
+    docs, doc = np.unique(lo, return_inverse=True)
+    sets, own = _Sets(len(docs)), np.full(mine.max() + 1, -1)
+    own[mine] = np.arange(n)
+    order = np.argsort(equal[3], kind="stable")
+    row, s, e, m = own[equal[0][order]], *(x[order] for x in equal[1:])
+    sets.unite(doc[row], np.searchsorted(docs, m))
+    low, high, done, step = np.full(n, p.words), np.full(n, -p.words), 0, max(1, PAIRS // n)
+    for start in range(0, n, step):
+        lead, to = np.arange(start, min(n, start + step)), np.searchsorted(m, lo[start], side="right")
+        np.minimum.at(low, row[done:to], s[done:to])
+        np.maximum.at(high, row[done:to], e[done:to])
+        done, full = to, (low <= first) & (high >= last)
+        known = (full[lead, None] & full[start:]) & (sets.set[doc[lead], None] == sets.set[doc[start:]])
+        i, j = np.nonzero((lead[:, None] < np.arange(start, n)) & ~known)
+        i, j = i + start, j + start
+        several = (lo[i] != lo[j]) | (hi[i] != lo[i]) | (hi[j] != lo[j])
+        i, j = i[several], j[several]
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            kind, sa, ea, sb, eb = near_passages(view[a], view[b], p)
+            k = np.flatnonzero(kind == 1)  # equal runs are there already
+            a, b, sa, ea, sb, eb = (x[k] for x in (a, b, sa, ea, sb, eb))
+            k = sets.unite(doc[a], doc[b])
+            yield mine[a[k]], sa[k], ea[k], lo[b[k]]
+            r, u, v, other = np.concatenate([a, b]), np.concatenate([sa, sb]), np.concatenate([ea, eb]), np.concatenate([lo[b], lo[a]])
+            wide = (u < low[r]) | (v > high[r])
+            r, u, v, other, keep = _widening(r[wide], u[wide], v[wide], other[wide], p.words)
+            yield mine[r[keep]], u[keep], v[keep], other[keep]
+            later = b > lead[-1]  # all that these have met so far are of documents no larger than the next lead
+            np.minimum.at(low, b[later], sb[later])
+            np.maximum.at(high, b[later], eb[later])
 
 
 def _pairs_of(size: np.ndarray, at: np.ndarray, small: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -389,47 +469,28 @@ def _meet(p: Shape):
 
     def work(t: pa.Table) -> pa.RecordBatch:
         g, lo, hi = (t.column(c).to_numpy() for c in ("g", "lo", "hi"))
-        view = np.frombuffer(b"".join(t.column("view").to_pylist()), dtype=np.uint16).reshape(len(g), -1)
+        view = b"".join(t.column("view").to_pylist())
+        view = np.frombuffer(view, dtype=f"u{len(view) // (len(g) * (2 * p.reach + 1))}").astype(np.uint32, copy=False).reshape(len(g), -1)
         new = np.diff(g, prepend=~g[:1]) != 0
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         size = np.diff(np.append(first, len(g)))
         out = [_equal_runs(view, group, lo, hi, p)]
 
-        def compare(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
             one = (lo[i] == hi[i]) & (lo[j] == hi[j]) & (lo[i] == lo[j])
             kind, sa, ea, sb, eb = near_passages(view[i], view[j], p)
             k = np.flatnonzero((kind == 1) & ~one)  # equal runs are there already
             out.extend([(i[k], sa[k], ea[k], lo[j[k]]), (j[k], sb[k], eb[k], lo[i[k]])])
-            return (kind > 0) & ~one
 
         for i, j in _pairs_of(size[group], np.arange(len(g)) - first[group], size[group] <= SMALL):
-            for at in range(0, len(i), 20_000):
-                compare(i[at : at + 20_000], j[at : at + 20_000])
-        row, _, _, m = out[0]
-        covered = np.zeros(len(g), bool)
-        covered[row] = True
+            for at in range(0, len(i), PAIRS):
+                compare(i[at : at + PAIRS], j[at : at + PAIRS])
+        row = out[0][0]
         for k in np.flatnonzero(size > SMALL):
             of = slice(first[k], first[k] + size[k])
-            shared = _shared_places(view[of], lo[of], hi[of])
-            rows = np.flatnonzero(shared >= p.need)
-            mine = slice(*np.searchsorted(row, [of.start, of.stop]))
-            leaders = rows[_leaders(shared[rows], lo[of][rows], covered[of][rows], lo[row[mine]], m[mine])] + first[k]
-            rows, met = rows + first[k], np.zeros(len(g), bool)
-            for lead in leaders.tolist():
-                if met[lead] and not covered[lead]:
-                    continue
-                others = rows[(lo[rows] != lo[lead]) | (hi[rows] != hi[lead])]
-                for at in range(0, len(others), 20_000):
-                    j = others[at : at + 20_000]
-                    met[j[compare(np.full(len(j), lead), j)]] = True
-        row, s, e, m = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((m, row))
-        row, s, e, m = row[order], s[order], e[order], m[order]
-        at = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(m, prepend=m[:1]) != 0))
-        if len(at):
-            row, m, s, e = row[at], m[at], np.minimum.reduceat(s, at), np.maximum.reduceat(e, at)
-        most = np.stack([np.maximum.accumulate(row * 4 * p.words - s), np.maximum.accumulate(row * 4 * p.words + e)])
-        keep = (np.diff(row, prepend=-1) != 0) | (np.diff(most, prepend=-1, axis=1) > 0).any(axis=0)
+            r, s, e, m = (x[slice(*np.searchsorted(row, [of.start, of.stop]))] for x in out[0])
+            out.extend((r + of.start, s, e, m) for r, s, e, m in _large_group(view[of], lo[of], hi[of], (r - of.start, s, e, m), p))
+        row, s, e, m, keep = _widening(*(np.concatenate(x) for x in zip(*out, strict=True)), p.words)
         # a long class of several documents has its whole surroundings anyway, for all but its smallest document
         keep &= (m < lo[row]) | (lo[row] == hi[row]) | ((view[row] != _NONE).sum(axis=1) < p.least)
         own = [t.column(c).combine_chunks().take(pa.array(row)) for c in ("key", "same", "lo")]

@@ -230,6 +230,58 @@ def test_groups_of_many_classes(monkeypatch):
     assert some <= every and len(some) >= 0.97 * len(every) and len(every) >= 200 and max(every) < 300
 
 
+@pytest.mark.parametrize("several", [1, 3])
+def test_large_groups_compare_all_pairs(monkeypatch, several):
+    """Groups beyond ``SMALL`` give what comparing all pairs gives: what of each class smaller documents have, and the links, also of classes of several documents."""
+    import pyarrow as pa
+
+    p, rng = passages.Shape(), np.random.default_rng(11)
+    base = rng.integers(0, 1 << 15, 91, dtype=np.uint16)
+    rows = []
+    for i in range(400):
+        v = rng.integers(0, 1 << 15, 91, dtype=np.uint16)
+        first, last = (22, 70) if i % 5 else (0, 91)
+        v[first:last] = base[first:last]
+        for at in rng.choice(range(22, 66), rng.integers(1, 4)):
+            if not 31 <= at <= 55:
+                v[at : at + 5] = rng.integers(0, 1 << 15, 5, dtype=np.uint16) if rng.random() < 0.3 else base[at : at + 5] + rng.integers(1, 4).astype(np.uint16)
+        rows.append(v)
+    n = len(rows)
+    lo = rng.integers(0, n // several, n)
+    hi = lo + rng.integers(0, several, n)
+    columns = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), lo, hi]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array([v.tobytes() for v in rows], pa.binary())], names=["g", "key", "same", "lo", "hi", "view"])
+
+    def effects():
+        out = pa.Table.from_batches(list(passages._meet(p)(iter([batch]))))
+        find, most = union([(int(a), int(b)) for a, b in zip(out["m"].to_numpy(), out["lo"].to_numpy(), strict=True)]), defaultdict(list)
+        for same, m, s, e in sorted(zip(*(out.filter(out["keep"])[c].to_pylist() for c in ("same", "m", "s", "e")), strict=True)):
+            s, e = min([s, *(x[1] for x in most[same])]), max([e, *(x[2] for x in most[same])])
+            most[same].append((m, s, e))
+        return dict(most), {int(x): find(int(x)) for x in lo}
+
+    some = effects()
+    with monkeypatch.context() as m:
+        m.setattr(passages, "SMALL", n + 1)
+        assert effects() == some and len(some[0]) >= 200
+    monkeypatch.setattr(passages, "PAIRS", 700)
+    assert effects() == some
+
+
+def test_bridges_between_near_passages(docs):
+    """Two clusters of passages of 58 words that differ in one word each. Only two passages of 50 words link them, which are near each other and all of their own cluster."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(9000)]
+    text = lambda n: rng.sample(words, n)
+    d = []
+    for _ in range(3):
+        one = text(58)
+        other = [*one[:40], *text(1), *one[41:]]
+        d += [[*x[:42], y, *x[43:]] for x in (one, other) for y in text(20)] + [one[:50], other[:50]]
+    got = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(docs(*(" ".join(text(30) + x + text(30)) for x in d))).collect()}
+    assert got == {i: i - i % 42 for i in range(len(d))}
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_passages_beside_fragments(docs, monkeypatch, block):
     """Passages of 55 words in two documents each, of which smaller documents quote 45 words: too few to be reported, yet they lead every key."""
