@@ -15,7 +15,8 @@
 6. Members take over their class's passages; links give components by distributed star contraction.
 
 What is certain: every run of ``words`` equal words of two documents is in the spans of both, and they share a component. (Places are compared by 32 bits of their
-hashes.) Groups of any size give what comparing all their pairs gives. Near passages with an edit of more than four words inside can be missed.
+hashes.) Groups of any size give what comparing all their pairs gives. A near passage begins and ends with equal shingles and is looked for within
+``reach`` places of a centre: one that is near enough only beyond that, through an edit of several words, can be missed.
 
 Result: a row for every document that shares a passage, none for others: doc_id, n_passages, dup_words, spans (start:end in words, end exclusive,
 comma-joined), cut_spans (those parts that a document of smaller id has: what deduplication removes), component_id (smallest doc_id reachable by shared passages).
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +90,9 @@ class Shape:
         return max(1, self.least * (100 - self.percent) // (self.width * (100 + self.percent)))
 
     @property
-    def shift(self) -> int:
-        """How far the edits on one side of a centre may shift what follows."""
-        return self.edits * max(abs(a - b) for a, b in self.gaps)
-
-    @property
-    def gaps(self) -> list[tuple[int, int]]:
-        """Shingles that an edit breaks on either side: of a words into b words."""
-        return [(self.width - 1 + a, self.width - 1 + b) for a in range(5) for b in range(5) if a + b and abs(a - b) <= 2]
+    def gap(self) -> int:
+        """Shingles that an edit may break on both sides together, if what is seen around a centre is to be near enough."""
+        return (2 * self.reach + 1) * (100 - self.percent) // self.percent
 
 
 def sequences(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -257,64 +253,77 @@ def _first_false(x: np.ndarray) -> np.ndarray:
     return np.where(x.all(axis=1), x.shape[1], x.argmin(axis=1))
 
 
-def _resync(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, gaps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By row the edit after which a from i and b from j are equal for longest: what it breaks in a, in b, and for how long. The last column is empty."""
+def _resync(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, p: Shape) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By row what an edit breaks in a from i and in b from j, and for how long they are equal after it: for the edit after which that is longest, and for the one
+    that leaves most of the passage's edits to others. The last column is empty."""
     n, end = a.shape[0], a.shape[1] - 1
-    best, ga, gb = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rows, offsets = np.arange(n), np.arange(end)
-    for x, y in gaps:
-        p, q = np.minimum(i + x, end), np.minimum(j + y, end)
-        k = np.flatnonzero((a[rows, p] == b[rows, q]) & (a[rows, p] != _NONE))
-        if not len(k):
-            continue
-        u = np.take_along_axis(a[k], np.minimum(p[k, None] + offsets, end), axis=1)
-        v = np.take_along_axis(b[k], np.minimum(q[k, None] + offsets, end), axis=1)
-        length = _first_false((u == v) & (u != _NONE))
-        k, length = k[length > best[k]], length[length > best[k]]
-        best[k], ga[k], gb[k] = length, x, y
-    return ga, gb, best
+    width = np.arange(min(p.gap + 1, end))
+    u, v = (np.take_along_axis(x, np.minimum(at[:, None] + width, end), axis=1) for x, at in ((a, i), (b, j)))
+    some = np.flatnonzero(_common(u, v))
+    u, v = u[some], v[some]
+    equal = (u[:, :, None] == v[:, None, :]) & (u != _NONE)[:, :, None]
+    start = equal & (width[:, None] + width <= p.gap)
+    start[:, 1:, 1:] &= ~equal[:, :-1, :-1]  # a later start of the same run breaks more and gives less
+    row, x, y = np.unravel_index(np.flatnonzero(start), start.shape)
+    row, length, offsets = some[row], np.zeros(len(row), np.int64), np.arange(end)
+    for at in range(0, len(row), PAIRS):
+        of = slice(at, at + PAIRS)
+        u, v = (z[row[of, None], np.minimum((k[row[of]] + g[of])[:, None] + offsets, end)] for z, k, g in ((a, i, x), (b, j, y)))
+        length[of] = _first_false((u == v) & (u != _NONE))
+    out = []
+    for score in (length, (100 - p.percent) * length - p.percent * (x + y)):
+        order = np.lexsort((-x - y, score, row))
+        last = order[np.append(np.diff(row[order]) != 0, True)] if len(row) else order
+        best = [np.zeros(n, np.int64) for _ in range(3)]
+        for z, of in zip(best, (x, y, length), strict=True):
+            z[row[last]] = of[last]
+        out.append(tuple(best))
+    return out
 
 
-def _shifted_equal(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
-    """By row at least as many places as are equal after at most so many edits, each of which shifts by at most two."""
-    counts = [np.count_nonzero(a[:, max(0, -d) : a.shape[1] - max(0, d)] == b[:, max(0, d) : b.shape[1] - max(0, -d)], axis=1) for d in range(-2 * edits, 2 * edits + 1)]
-    # places equal without a shift are the run itself, and those behind edits that keep the length
-    return np.maximum.reduce([counts[2 * edits], *(counts[2 * edits] + c for i, c in enumerate(counts) if i != 2 * edits)]) if edits == 1 else np.sum(counts, axis=0)
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By row at least as many places as a and b can have equal, whatever is put in or taken out."""
+    both = np.sort(np.hstack([a, b]), axis=1)
+    return np.count_nonzero((both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE), axis=1)
 
 
 def near_passages(a: np.ndarray, b: np.ndarray, p: Shape) -> tuple[np.ndarray, ...]:
-    """For views in pairs: 1 where there is a near passage through the centre (2: just an equal one), and its first and last place in a and in b, from the centre."""
+    """For views in pairs: 1 where there are near passages through the centre (2: just an equal one), and their first and last place in a and in b, from the centre."""
     empty = np.full((len(a), 1), _NONE, np.uint32)
     kind, sa, ea, sb, eb = (np.zeros(len(a), np.int64) for _ in range(5))
     e = (a == b) & (a != _NONE)
     right, left = _first_false(e[:, p.reach :]), _first_false(e[:, p.reach - 1 :: -1]) if p.reach else np.zeros(len(a), np.int64)
     k = np.flatnonzero((right > 0) & (left + right >= p.seed))
-    # what may follow an edit on either side is at most what is equal there, be it shifted by what the edit puts in or takes out
-    if len(k):
-        more = _shifted_equal(a[k, p.reach + 1 :], b[k, p.reach + 1 :], p.edits) - (right[k] - 1) + _shifted_equal(a[k, : p.reach], b[k, : p.reach], p.edits) - left[k]
-        k = k[left[k] + right[k] + more >= p.need]
+    # what may follow an edit on either side is at most what the two have in common there
+    few = left[k] + right[k] < p.need
+    if few.any():
+        i = k[few]
+        more = _common(a[i, p.reach + 1 :], b[i, p.reach + 1 :]) - (right[i] - 1) + _common(a[i, : p.reach], b[i, : p.reach]) - left[i]
+        few[few] = left[i] + right[i] + more < p.need
+        k = k[~few]
     if not len(k):
         return kind, sa, ea, sb, eb
     left, right = left[k], right[k]
     sides = []
     for x, y, i in ((a[k], b[k], p.reach + right), (a[k][:, ::-1], b[k][:, ::-1], p.reach + 1 + left)):
         x, y = np.hstack([x, empty[k]]), np.hstack([y, empty[k]])
-        u, v, equal = i.copy(), i.copy(), np.zeros(len(k), np.int64)
-        for _ in range(p.edits):
-            ga, gb, n = _resync(x, y, u, v, p.gaps)
-            u, v, equal = np.where(n > 0, u + ga + n, u), np.where(n > 0, v + gb + n, v), equal + n
-        sides.append((u - i, v - i, equal))
-    run, best = left + right, np.zeros(len(k), np.int64)
-    for use_right, use_left in ((0, 0), (1, 0), (0, 1), (1, 1)):
-        (ru, rv, rn), (lu, lv, ln) = (tuple(z * f for z in side) for side, f in zip(sides, (use_right, use_left), strict=True))
+        options, zero = [], np.zeros(len(k), np.int64)
+        first = _resync(x, y, i, i, p)
+        for which, (ga, gb, n) in enumerate(first):
+            u, v, equal = np.where(n > 0, i + ga + n, i), np.where(n > 0, i + gb + n, i), n
+            for _ in range(p.edits - 1):
+                ga, gb, n = _resync(x, y, u, v, p)[which]
+                u, v, equal = np.where(n > 0, u + ga + n, u), np.where(n > 0, v + gb + n, v), equal + n
+            options.append((u - i, v - i, equal))
+        sides.append([(zero, zero, zero), *options])
+    run = left + right
+    for (ru, rv, rn), (lu, lv, ln) in product(*sides):
         equal, size_a, size_b = run + rn + ln, run + ru + lu, run + rv + lv
-        ok = (np.minimum(size_a, size_b) >= p.least) & (equal * 100 >= p.percent * (size_a + size_b - equal)) & (equal > best)
-        best[ok] = equal[ok]
+        ok = (np.minimum(size_a, size_b) >= p.least) & (equal * 100 >= p.percent * (size_a + size_b - equal))
         at = k[ok]
-        kind[at] = 1
-        sa[at], ea[at] = -(left + lu)[ok], (right + ru - 1)[ok]
-        sb[at], eb[at] = -(left + lv)[ok], (right + rv - 1)[ok]
-    kind[k[(run >= p.least) & (best == run)]] = 2
+        kind[at] = np.where((equal > run)[ok], 1, np.where(kind[at], kind[at], 2))
+        sa[at], ea[at] = np.minimum(sa[at], -(left + lu)[ok]), np.maximum(ea[at], (right + ru - 1)[ok])
+        sb[at], eb[at] = np.minimum(sb[at], -(left + lv)[ok]), np.maximum(eb[at], (right + rv - 1)[ok])
     return kind, sa, ea, sb, eb
 
 
@@ -350,22 +359,14 @@ def _equal_runs(view: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndar
     return row[at], place[at] - p.reach, place[end] - p.reach + p.least - 1, m[at]
 
 
-def _shared_places(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, shift: int) -> np.ndarray:
-    """For each row of one group, which places hold a shingle that another document has there or up to ``shift`` places beside: a near passage has no other equal
-    ones, and ends at such."""
-    places = view.shape[1]
-    code = ((np.arange(places) << 32) + view).ravel()
-    known, which = np.unique(code, return_inverse=True)
+def _shared_places(view: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each row of one group, which places hold a shingle that another document has too: a near passage has no other equal ones, and ends at such."""
+    known, which = np.unique(view, return_inverse=True)
+    which = which.ravel()
     least, most = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
-    np.minimum.at(least, which, np.repeat(lo, places))
-    np.maximum.at(most, which, np.repeat(hi, places))
-    low, high = least[which], most[which]
-    for d in range(-shift, shift + 1):
-        other = code + (d << 32)
-        at = np.minimum(np.searchsorted(known, other), len(known) - 1)
-        there = known[at] == other
-        low, high = np.where(there, np.minimum(low, least[at]), low), np.where(there, np.maximum(high, most[at]), high)
-    return ((low != high) & (view.ravel() != _NONE)).reshape(view.shape)
+    np.minimum.at(least, which, np.repeat(lo, view.shape[1]))
+    np.maximum.at(most, which, np.repeat(hi, view.shape[1]))
+    return ((least != most) & (known != _NONE))[which].reshape(view.shape)
 
 
 def _widening(row: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
@@ -412,7 +413,7 @@ def _large_group(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, equal: tuple[
     with documents no larger than the pair's smaller, all that they could share with any."""
     mine = np.arange(len(view))
     while True:  # rows that share too little with all others go; then others may share too little
-        places = _shared_places(view[mine], lo[mine], hi[mine], p.shift)
+        places = _shared_places(view[mine], lo[mine], hi[mine])
         enough = places.sum(axis=1) >= p.need
         mine, places = mine[enough], places[enough]
         if enough.all() or not len(mine):

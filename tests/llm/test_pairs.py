@@ -282,6 +282,19 @@ def test_bridges_between_near_passages(docs):
     assert got == {i: i - i % 42 for i in range(len(d))}
 
 
+def test_near_passages_of_uneven_edits(docs):
+    """One edit of a words into b words in the middle of 80, also phrases said twice: near however a and b differ."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(9000)]
+    text = lambda n: rng.sample(words, n)
+    pairs = [(p := text(80), [*p[:40], *text(b), *p[40 + a :]]) for a in range(6) for b in range(6 - a) if a + b]
+    pairs += [(p := text(80), [*p[:40], *p[40 - n : 40], *p[40:]]) for n in range(1, 10)]
+    assert all(100 * len((x := sets(" ".join(p), 5)) & (y := sets(" ".join(q), 5))) >= 80 * len(x | y) for p, q in pairs)
+    d = [" ".join(text(30) + x + text(30)) for pair in pairs for x in pair]
+    got = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(docs(*d)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(d))}
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_passages_beside_fragments(docs, monkeypatch, block):
     """Passages of 55 words in two documents each, of which smaller documents quote 45 words: too few to be reported, yet they lead every key."""
