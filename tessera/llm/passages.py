@@ -5,7 +5,7 @@
 2. How many hash functions are enough: one. A passage at the threshold that edits have broken still has an equal run of ``seed`` shingles (pigeonhole; 21 for
    50 words at 80 %: one edit in 46 shingles), whose least place is the centre of a window in both documents. That run reaches ``context`` places to the left or
    to the right of the centre, so the two meet in the group of (centre, left context) or of (centre, right context).
-3. Windows of a group with the same surroundings (``reach`` places to either side) are one class, for which one of them stands: copies are counted, never paired.
+3. Windows of a group with the same surroundings (``sight`` places to either side) are one class, for which one of them stands: copies are counted, never paired.
 4. Classes of a group are joined as intervals around the centre. Equal runs of the least length: every run through the centre is hashed, equal hashes are one
    cluster around its smallest document; linear, no leader, nothing lost. Near-duplicates: equal runs of ``seed`` around the centre, carried on over edits, at
    ``percent`` or more of the union. All pairs of a group are compared. Those of more than ``SMALL`` classes leave out only what can't change a result: classes
@@ -16,7 +16,7 @@
 
 What is certain: every run of ``words`` equal words of two documents is in the spans of both, and they share a component. (Places are compared by 32 bits of their
 hashes.) Groups of any size give what comparing all their pairs gives. A near passage begins and ends with equal shingles and is looked for within
-``reach`` places of a centre: one that is near enough only beyond that, through an edit of several words, can be missed.
+``sight`` places of a centre, which hold any two runs with one edit between; those near enough just with two edits on one side of each centre can be missed.
 
 Result: a row for every document that shares a passage, none for others: doc_id, n_passages, dup_words, spans (start:end in words, end exclusive,
 comma-joined), cut_spans (those parts that a document of smaller id has: what deduplication removes), component_id (smallest doc_id reachable by shared passages).
@@ -91,8 +91,13 @@ class Shape:
 
     @property
     def gap(self) -> int:
-        """Shingles that an edit may break on both sides together, if what is seen around a centre is to be near enough."""
-        return (2 * self.reach + 1) * (100 - self.percent) // self.percent
+        """Shingles that an edit between two runs shorter than ``least`` may break on both sides together, if the whole is to be near enough."""
+        return 2 * self.reach * (100 - self.percent) // self.percent
+
+    @property
+    def sight(self) -> int:
+        """How far from a centre at one end of such a whole its other end may be."""
+        return max(self.reach, 2 * self.reach - 1 + self.gap)
 
 
 def sequences(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -209,7 +214,7 @@ def _members(seqs: DataFrame, p: Shape) -> DataFrame:
         l, c, r = l[keep], c[keep], r[keep]
         own = np.searchsorted(ends, c, side="right")
         runs = _Runs(s)
-        same, left, right = _surroundings(runs, c, starts[own], ends[own], p.reach)
+        same, left, right = _surroundings(runs, c, starts[own], ends[own], p.sight)
         sides = [(c - l >= p.context, mix64(runs(np.maximum(c - p.context, 0), c + 1) ^ np.uint64(11))), (r - c >= p.context, mix64(runs(c, np.minimum(c + p.context + 1, len(s))) ^ np.uint64(77)))]
         if not p.context:
             sides = sides[:1]
@@ -233,14 +238,14 @@ def _views(reps: DataFrame, p: Shape) -> DataFrame:
         own, each = np.repeat(np.arange(batch.num_rows), np.diff(m.offsets.to_numpy())), m.flatten()
         c = starts[own] + each.field("at").to_numpy()
         there = np.flatnonzero(c < ends[own])
-        same, _, _ = _surroundings(_Runs(s), c[there], starts[own[there]], ends[own[there]], p.reach)
+        same, _, _ = _surroundings(_Runs(s), c[there], starts[own[there]], ends[own[there]], p.sight)
         there = there[same.view(np.int64) == each.field("same").to_numpy()[there]]
         if not len(there):
             return None
-        place = c[there, None] + np.arange(-p.reach, p.reach + 1)
+        place = c[there, None] + np.arange(-p.sight, p.sight + 1)
         out = np.minimum(s[np.clip(place, 0, len(s) - 1)], np.uint32(_NONE - 1))
         out[(place < starts[own[there], None]) | (place >= ends[own[there], None])] = _NONE
-        size = out.itemsize * (2 * p.reach + 1)
+        size = out.itemsize * (2 * p.sight + 1)
         view = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((np.arange(len(there) + 1) * size).astype(np.int32)), pa.py_buffer(out.tobytes())])
         take = pa.array(there)
         return pa.RecordBatch.from_arrays([*(each.field(n).take(take) for n in ("key", "same", "lo", "hi", "blocks")), view], names=["key", "same", "lo", "hi", "blocks", "view"])
@@ -289,23 +294,24 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_passages(a: np.ndarray, b: np.ndarray, p: Shape) -> tuple[np.ndarray, ...]:
     """For views in pairs: 1 where there are near passages through the centre (2: just an equal one), and their first and last place in a and in b, from the centre."""
+    reach = a.shape[1] // 2
     empty = np.full((len(a), 1), _NONE, np.uint32)
     kind, sa, ea, sb, eb = (np.zeros(len(a), np.int64) for _ in range(5))
     e = (a == b) & (a != _NONE)
-    right, left = _first_false(e[:, p.reach :]), _first_false(e[:, p.reach - 1 :: -1]) if p.reach else np.zeros(len(a), np.int64)
+    right, left = _first_false(e[:, reach :]), _first_false(e[:, reach - 1 :: -1]) if reach else np.zeros(len(a), np.int64)
     k = np.flatnonzero((right > 0) & (left + right >= p.seed))
     # what may follow an edit on either side is at most what the two have in common there
     few = left[k] + right[k] < p.need
     if few.any():
         i = k[few]
-        more = _common(a[i, p.reach + 1 :], b[i, p.reach + 1 :]) - (right[i] - 1) + _common(a[i, : p.reach], b[i, : p.reach]) - left[i]
+        more = _common(a[i, reach + 1 :], b[i, reach + 1 :]) - (right[i] - 1) + _common(a[i, : reach], b[i, : reach]) - left[i]
         few[few] = left[i] + right[i] + more < p.need
         k = k[~few]
     if not len(k):
         return kind, sa, ea, sb, eb
     left, right = left[k], right[k]
     sides = []
-    for x, y, i in ((a[k], b[k], p.reach + right), (a[k][:, ::-1], b[k][:, ::-1], p.reach + 1 + left)):
+    for x, y, i in ((a[k], b[k], reach + right), (a[k][:, ::-1], b[k][:, ::-1], reach + 1 + left)):
         x, y = np.hstack([x, empty[k]]), np.hstack([y, empty[k]])
         options, zero = [], np.zeros(len(k), np.int64)
         first = _resync(x, y, i, i, p)
@@ -352,7 +358,7 @@ def _shared_runs(view: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.nda
 
 def _equal_runs(view: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: Shape) -> tuple[np.ndarray, ...]:
     """row, first and last place from the centre, and the smallest document, of runs of the least length through the centre that several documents have."""
-    row, place, m = _shared_runs(view, group, lo, hi, p.least, p.reach)
+    row, place, m = _shared_runs(view, group, lo, hi, p.least, view.shape[1] // 2)
     start = (np.diff(row, prepend=-1) != 0) | (np.diff(place, prepend=-9) != 1) | (np.diff(m, prepend=m[:1]) != 0)
     at = np.flatnonzero(start)
     end = np.append(at[1:], len(row)) - 1 if len(at) else at
@@ -369,14 +375,14 @@ def _shared_places(view: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return ((least != most) & (known != _NONE))[which].reshape(view.shape)
 
 
-def _widening(row: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+def _widening(row: np.ndarray, s: np.ndarray, e: np.ndarray, m: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """Spans (row, s, e, m) by row and m, those of one partner as one, and whether partners of smaller m leave any of it out."""
     order = np.lexsort((m, row))
     row, s, e, m = row[order], s[order], e[order], m[order]
     at = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(m, prepend=m[:1]) != 0))
     if len(at):
         row, m, s, e = row[at], m[at], np.minimum.reduceat(s, at), np.maximum.reduceat(e, at)
-    most = np.stack([np.maximum.accumulate(row * 4 * words - s), np.maximum.accumulate(row * 4 * words + e)])
+    most = np.stack([np.maximum.accumulate(row * span - s), np.maximum.accumulate(row * span + e)])
     return row, s, e, m, (np.diff(row, prepend=-1) != 0) | (np.diff(most, prepend=-1, axis=1) > 0).any(axis=0)
 
 
@@ -423,7 +429,8 @@ def _large_group(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, equal: tuple[
     view, lo, hi = view[mine], lo[mine], hi[mine]
     if n < 2:
         return
-    first, last = places.argmax(axis=1) - p.reach, p.reach - places[:, ::-1].argmax(axis=1)
+    middle = view.shape[1] // 2
+    first, last = places.argmax(axis=1) - middle, middle - places[:, ::-1].argmax(axis=1)
     docs, doc = np.unique(lo, return_inverse=True)
     sets, own = _Sets(len(docs)), np.full(mine.max() + 1, -1)
     own[mine] = np.arange(n)
@@ -450,7 +457,7 @@ def _large_group(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, equal: tuple[
             yield mine[a[k]], sa[k], ea[k], lo[b[k]]
             r, u, v, other = np.concatenate([a, b]), np.concatenate([sa, sb]), np.concatenate([ea, eb]), np.concatenate([lo[b], lo[a]])
             wide = (u < low[r]) | (v > high[r])
-            r, u, v, other, keep = _widening(r[wide], u[wide], v[wide], other[wide], p.words)
+            r, u, v, other, keep = _widening(r[wide], u[wide], v[wide], other[wide], view.shape[1])
             yield mine[r[keep]], u[keep], v[keep], other[keep]
             later = b > lead[-1]  # all that these have met so far are of documents no larger than the next lead
             np.minimum.at(low, b[later], sb[later])
@@ -470,8 +477,8 @@ def _meet(p: Shape):
 
     def work(t: pa.Table) -> pa.RecordBatch:
         g, lo, hi = (t.column(c).to_numpy() for c in ("g", "lo", "hi"))
-        view = b"".join(t.column("view").to_pylist())
-        view = np.frombuffer(view, dtype=f"u{len(view) // (len(g) * (2 * p.reach + 1))}").astype(np.uint32, copy=False).reshape(len(g), -1)
+        size, view = len(t.column("view")[0].as_py()), b"".join(t.column("view").to_pylist())
+        view = np.frombuffer(view, np.uint32 if size == 4 * (2 * p.sight + 1) else np.uint16).astype(np.uint32, copy=False).reshape(len(g), -1)
         new = np.diff(g, prepend=~g[:1]) != 0
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         size = np.diff(np.append(first, len(g)))
@@ -491,7 +498,7 @@ def _meet(p: Shape):
             of = slice(first[k], first[k] + size[k])
             r, s, e, m = (x[slice(*np.searchsorted(row, [of.start, of.stop]))] for x in out[0])
             out.extend((r + of.start, s, e, m) for r, s, e, m in _large_group(view[of], lo[of], hi[of], (r - of.start, s, e, m), p))
-        row, s, e, m, keep = _widening(*(np.concatenate(x) for x in zip(*out, strict=True)), p.words)
+        row, s, e, m, keep = _widening(*(np.concatenate(x) for x in zip(*out, strict=True)), view.shape[1])
         # a long class of several documents has its whole surroundings anyway, for all but its smallest document
         keep &= (m < lo[row]) | (lo[row] == hi[row]) | ((view[row] != _NONE).sum(axis=1) < p.least)
         own = [t.column(c).combine_chunks().take(pa.array(row)) for c in ("key", "same", "lo")]

@@ -295,6 +295,17 @@ def test_near_passages_of_uneven_edits(docs):
     assert got == {i: i - i % 2 for i in range(len(d))}
 
 
+def test_near_passages_of_long_edits(docs):
+    """Two runs of 44 words with an edit of twelve words in all between: near, wherever in a run the centre is."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9000)]
+    text = lambda n: rng.sample(words, n)
+    pairs = [(p := text(88 + a), [*p[:44], *text(12 - a), *p[44 + a :]]) for a in (0, 3, 6, 9, 12) for _ in range(6)]
+    d = [" ".join(text(30) + x + text(30)) for pair in pairs for x in pair]
+    got = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(docs(*d)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(d))}
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_passages_beside_fragments(docs, monkeypatch, block):
     """Passages of 55 words in two documents each, of which smaller documents quote 45 words: too few to be reported, yet they lead every key."""
