@@ -4,7 +4,7 @@
    have their least hash at c, so one row stands for all of them. Long stretches of one repeated word are taken apart: a passage within them is one row.
 2. How many hash functions are enough: one. A passage at the threshold that edits have broken still has an equal run of ``seed`` shingles (pigeonhole; 21 for
    50 words at 80 %: one edit in 46 shingles), whose least place is the centre of a window in both documents. That run reaches ``context`` places to the left or
-   to the right of the centre, so the two meet in the group of (centre, left context) or of (centre, right context).
+   to the right of the centre, so the two meet in the group of (centre, left context) or of (centre, right context). A group that lies within another is left out.
 3. Windows of a group with the same surroundings (``sight`` places to either side) are one class, for which one of them stands: copies are counted, never paired.
 4. Classes of a group are joined as intervals around the centre. Equal runs of the least length: every run through the centre is hashed, equal hashes are one
    cluster around its smallest document; linear, no leader, nothing lost. Near-duplicates: equal runs of ``seed`` around the centre, carried on over edits, at
@@ -13,6 +13,7 @@
    smaller documents didn't give them. Variants of one template so take linear time; at worst it is quadratic in the group's classes.
 5. A group of more than ``BLOCK`` classes is cut into blocks, and every two blocks meet in a task of their own.
 6. Members take over their class's passages; links give components by distributed star contraction.
+7. Disk: sequences are kept of what is seen from shared centres only; tables and shuffle files that nothing reads any more are deleted between the steps.
 
 What is certain: every run of ``words`` equal words of two documents is in the spans of both, and they share a component. (Places are compared by 32 bits of their
 hashes.) Groups of any size give what comparing all their pairs gives. A near passage begins and ends with equal shingles and is looked for within
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, product
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import WordHashes, map_arrow, mix64, shingles, split_words, written
+from tessera.llm.shared import map_arrow, mix64, shingles, spent, written
 
-WIDTH, WORDS, BATCH, BLOCK, SMALL, PAIRS = 5, 50, 512, 4096, 32, 20_000
+WIDTH, WORDS, BATCH, BLOCK, SMALL, PAIRS, LONG = 5, 50, 512, 4096, 32, 20_000, 64
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = 0xFFFFFFFF
-_state: dict[str, WordHashes] = {}
 
 
 @dataclass(frozen=True)
@@ -100,16 +100,48 @@ class Shape:
         return max(self.reach, 2 * self.reach - 1 + self.gap)
 
 
-def sequences(texts: list[str | None], width: int) -> list[np.ndarray]:
-    """The 64-bit shingle hashes of each text, in order; none of a text of fewer words."""
-    known = _state.setdefault("words", WordHashes())
-    words = [split_words(t) for t in texts]
-    hashes = known(list(chain.from_iterable(words)))
-    out, at = [], 0
-    for w in words:
-        out.append(shingles(hashes[at : at + len(w)], width) if len(w) >= width else np.zeros(0, np.uint64))
-        at += len(w)
-    return out
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column's values, one after the other, and the places before, between and after them. Null: none."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts (as ``split_words`` has them), one after the other, equal in every process; and where each text's words end. All words
+    are hashed at once, eight bytes at a time; those of more than ``LONG`` bytes one by one."""
+    import xxhash
+
+    raw, edges = _bytes(texts)
+    n = len(raw)
+    text = np.zeros(n + 8, np.uint8)
+    text[:n] = raw + ((raw - np.uint8(65) < 26).view(np.uint8) << 5)
+    edge, blank = np.zeros(n + 1, bool), np.ones(n + 2, bool)
+    edge[edges] = True
+    blank[1:-1] = (raw == 32) | (raw - np.uint8(9) < 5)
+    starts = np.flatnonzero(~blank[1:-1] & (blank[:-2] | edge[:-1]))
+    size = np.flatnonzero(~blank[1:-1] & (blank[2:] | edge[1:])) + 1 - starts
+    eight = np.ndarray(n + 1, "<u8", text, strides=(1,))
+    mask = np.append(np.uint64(0), ~np.uint64(0) >> np.arange(56, -1, -8).astype(np.uint64))
+    h = mix64(mix64(size.astype(np.uint64)) ^ (eight[starts] & mask[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    for at in range(8, LONG, 8):
+        if not len(more := more[size[more] > at]):
+            break
+        h[more] = mix64(h[more] * _BASE + (eight[starts[more] + at] & mask[np.minimum(size[more] - at, 8)]))
+    for i in np.flatnonzero(size > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + size[i]].tobytes())
+    return h, np.searchsorted(starts, edges[1:])
+
+
+def sequences(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit shingle hashes of all texts, one text after the other, and where those of each end; none of a text of fewer words."""
+    hashes, to = word_hashes(texts)
+    sizes = np.maximum(np.diff(to, prepend=0) - width + 1, 0)
+    first = np.arange(max(0, len(hashes) - width + 1))
+    whole = first + width <= to[np.repeat(np.arange(len(to)), np.diff(to, prepend=0))[: len(first)]]
+    return shingles(hashes, width)[: len(first)][whole], np.cumsum(sizes)
 
 
 def compact_windows(s: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +162,8 @@ def compact_windows(s: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     own = np.repeat(np.arange(len(starts)), ends - starts)
     i = np.flatnonzero(own[: n - seed + 1] == own[seed - 1 :])
     first = (low[i] & _LOW).astype(np.int64)
-    last = _stretches(s, own)[first]
+    last = _stretches(s, own)
+    last = np.repeat(last, np.diff(last, prepend=-1))[first]
     keep = (first > i) | (last < i + seed - 1)
     i, c = i[keep], np.where(first > i, first, last)[keep]
     order = np.argsort(c, kind="stable")
@@ -140,21 +173,29 @@ def compact_windows(s: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
 
 
 def _stretches(s: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """For each place the last one of its stretch of equal places."""
-    ends = np.flatnonzero(np.append((s[1:] != s[:-1]) | (own[1:] != own[:-1]), True))
-    return np.repeat(ends, np.diff(ends, prepend=-1))
+    """The last places of all stretches of equal places."""
+    return np.flatnonzero(np.append((s[1:] != s[:-1]) | (own[1:] != own[:-1]), True))
 
 
 def _constant(s: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last places of stretches of at least so many equal places: passages of one word."""
     if not len(s):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    last = np.unique(_stretches(s, np.repeat(np.arange(len(starts)), ends - starts)))
+    last = _stretches(s, np.repeat(np.arange(len(starts)), ends - starts))
     first = np.append(0, last[:-1] + 1)
     ok = last - first + 1 >= least
     return first[ok], last[ok]
 
 
+def _blanked(s: np.ndarray, ends: np.ndarray, c: np.ndarray, p: Shape) -> np.ndarray:
+    """s, with what nothing looks at (all but what is seen from the centres c of its segments, and stretches of equal places) as 0, 1, 0, 1 ..., which takes no room."""
+    starts = np.append(0, ends[:-1])
+    first, last = _constant(s, starts, ends, p.least)
+    from_, to = np.concatenate([c - p.sight - p.seed, first - 1]), np.concatenate([c + p.sight + p.seed, last + 1])
+    deep = np.bincount(np.maximum(from_, 0), minlength=len(s) + 1) - np.bincount(np.minimum(to + 1, len(s)), minlength=len(s) + 1)
+    return np.where(np.cumsum(deep)[:-1] > 0, s, (np.arange(len(s)) & 1).astype(np.uint32))
+
+
 class _Runs:
     """Hashes of runs of a sequence: a polynomial modulo 2**64 in an odd, hence invertible, base."""
 
@@ -171,11 +212,10 @@ def _windows(docs: DataFrame, p: Shape) -> DataFrame:
     """value (hash of the centre's shingle), doc, at (the centre)."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        seqs = sequences(batch.column(1).to_pylist(), p.width)
-        sizes = np.array([len(s) for s in seqs])
+        s, ends = sequences(batch.column(1), p.width)
+        sizes = np.diff(ends, prepend=0)
         if not len(sizes) or sizes.max() < p.seed:
             return None
-        s, ends = np.concatenate(seqs), np.cumsum(sizes)
         short = (s >> np.uint64(32)).astype(np.uint32)
         _, c, _ = compact_windows(short, ends - sizes, ends, p.seed)
         again, _ = _constant(short, ends - sizes, ends, p.least)
@@ -190,9 +230,8 @@ def _windows(docs: DataFrame, p: Shape) -> DataFrame:
 
 def _joined(batch: pa.RecordBatch, seq: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The batch's sequences, one after the other, with their starts and ends."""
-    seqs = [np.frombuffer(x, dtype=np.uint32) for x in batch.column(seq).to_pylist()]
-    ends = np.cumsum([len(s) for s in seqs])
-    return np.concatenate(seqs), ends - [len(s) for s in seqs], ends
+    s, at = _bytes(batch.column(seq))
+    return s.view(np.uint32), at[:-1] // 4, at[1:] // 4
 
 
 def _surroundings(runs: _Runs, c: np.ndarray, first: np.ndarray, last: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,31 +241,43 @@ def _surroundings(runs: _Runs, c: np.ndarray, first: np.ndarray, last: np.ndarra
 
 
 def _members(seqs: DataFrame, p: Shape) -> DataFrame:
-    """key (centre and one context), same (its surroundings), doc, at, left, right: a row for each window and side; with left = -1 one for each stretch of one word."""
+    """key (centre and one context), other (centre and right context, if key has the left one and there are both), same (its surroundings), doc, at, left, right: a row
+    for each window; with left = -1 one for each stretch of one word."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         s, starts, ends = _joined(batch, "seq")
         l, c, r = compact_windows(s, starts, ends, p.seed)
         again, last = _constant(s, starts, ends, p.least)
         lists = batch.column("at")
-        wanted = np.repeat(starts, np.diff(lists.offsets.to_numpy())) + lists.flatten().to_numpy()
-        keep = np.isin(c, wanted)  # of rows that repeat an id each has just its own
+        own = np.repeat(np.arange(len(ends)), np.diff(lists.offsets.to_numpy()))
+        wanted = starts[own] + lists.flatten().to_numpy()
+        keep = np.isin(c, wanted[wanted < ends[own]])  # of rows that repeat an id each has just its own
         l, c, r = l[keep], c[keep], r[keep]
         own = np.searchsorted(ends, c, side="right")
         runs = _Runs(s)
         same, left, right = _surroundings(runs, c, starts[own], ends[own], p.sight)
-        sides = [(c - l >= p.context, mix64(runs(np.maximum(c - p.context, 0), c + 1) ^ np.uint64(11))), (r - c >= p.context, mix64(runs(c, np.minimum(c + p.context + 1, len(s))) ^ np.uint64(77)))]
-        if not p.context:
-            sides = sides[:1]
-        at = np.concatenate([np.flatnonzero(ok) for ok, _ in sides])
-        key = np.concatenate([k[ok] for ok, k in sides])
+        # a window of seed places reaches context places at least to one side
+        before, after = c - l >= p.context, (r - c >= p.context) & (p.context > 0)
+        by_left, by_right = mix64(runs(np.maximum(c - p.context, 0), c + 1) ^ np.uint64(11)), mix64(runs(c, np.minimum(c + p.context + 1, len(s))) ^ np.uint64(77))
         word, owner = mix64(s[again].astype(np.uint64) ^ np.uint64(0xC0 << 32)), np.searchsorted(ends, again, side="right")
-        own, place = np.concatenate([own[at], owner]), np.concatenate([c[at], again])
-        columns = (np.concatenate([key, word]).view(np.int64), np.concatenate([same[at], word]).view(np.int64), batch.column("doc").to_numpy()[own], (place - starts[own]).astype(np.int32))
-        sizes = (np.concatenate([left[at], np.full(len(again), -1)]).astype(np.int32), np.concatenate([right[at], last - again]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, *sizes)], names=["key", "same", "doc", "at", "left", "right"])
+        own, place = np.concatenate([own, owner]), np.concatenate([c, again])
+        other = pa.array(np.concatenate([by_right, word]).view(np.int64), mask=np.concatenate([~(before & after), np.full(len(again), True)]))
+        key, same = (np.concatenate([x, word]).view(np.int64) for x in (np.where(before, by_left, by_right), same))
+        sizes = (np.concatenate([left, np.full(len(again), -1)]).astype(np.int32), np.concatenate([right, last - again]).astype(np.int32))
+        columns = (key, other, same, batch.column("doc").to_numpy()[own], (place - starts[own]).astype(np.int32), *sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], names=["key", "other", "same", "doc", "at", "left", "right"])
+
+    return map_arrow(seqs, one, "key long, other long, same long, doc long, at int, left int, right int", rows=BATCH)
+
 
-    return map_arrow(seqs, one, "key long, same long, doc long, at int, left int, right int", rows=BATCH)
+def _groups(sides: DataFrame) -> DataFrame:
+    """group, n (its classes): groups of several documents. A group whose classes all lie in one other group too is left out: there the same pairs meet. Of two equal
+    ones that of the smaller number stays; a group that covers another is covered by none but an equal one."""
+    each = sides.groupBy("group").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("beside").alias("k"), F.min("beside").alias("first"), F.max("beside").alias("last"))
+    each = written(each.where("n > 1 AND a <> b").select("group", "n", F.expr("CASE WHEN k = n AND first = last THEN first END").alias("within")), "groups")
+    wider = each.where("within IS NOT NULL").join(each.select(F.col("group").alias("within"), F.col("n").alias("wide")).hint("shuffle_hash"), "within")
+    covered = wider.where("n < wide OR (n = wide AND group > within)").select("group")
+    return each.select("group", "n").join(covered.hint("shuffle_hash"), "group", "left_anti")
 
 
 def _views(reps: DataFrame, p: Shape) -> DataFrame:
@@ -248,9 +299,9 @@ def _views(reps: DataFrame, p: Shape) -> DataFrame:
         size = out.itemsize * (2 * p.sight + 1)
         view = pa.Array.from_buffers(pa.binary(), len(there), [None, pa.py_buffer((np.arange(len(there) + 1) * size).astype(np.int32)), pa.py_buffer(out.tobytes())])
         take = pa.array(there)
-        return pa.RecordBatch.from_arrays([*(each.field(n).take(take) for n in ("key", "same", "lo", "hi", "blocks")), view], names=["key", "same", "lo", "hi", "blocks", "view"])
+        return pa.RecordBatch.from_arrays([*(each.field(n).take(take) for n in ("group", "key", "same", "lo", "hi", "blocks")), view], names=["group", "key", "same", "lo", "hi", "blocks", "view"])
 
-    return map_arrow(reps, one, "key long, same long, lo long, hi long, blocks int, view binary", rows=BATCH)
+    return map_arrow(reps, one, "group long, key long, same long, lo long, hi long, blocks int, view binary", rows=BATCH)
 
 
 def _first_false(x: np.ndarray) -> np.ndarray:
@@ -571,23 +622,37 @@ def passages(docs: DataFrame, p: Shape) -> tuple[DataFrame, DataFrame]:
     lists = windows.join(shared.hint("shuffle_hash"), "value", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("at"))
 
     def seq(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sequences(batch.column(1).to_pylist(), p.width)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), batch.column(2)], names=["doc", "seq", "at"])
+        s, ends = sequences(batch.column(1), p.width)
+        at = batch.column(2)
+        own = np.repeat(np.arange(len(ends)), np.diff(at.offsets.to_numpy()))
+        c = np.append(0, ends)[own] + at.flatten().to_numpy()
+        s = _blanked((s >> np.uint64(32)).astype(np.uint32), ends, c[c < ends[own]], p)
+        places = np.append(0, 4 * ends).astype(np.int32)
+        own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(places), pa.py_buffer(s)])
+        return pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(2)], names=["doc", "seq", "at"])
 
     texts = docs.select("doc_id", "text").join(lists.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at")
     seqs = written(map_arrow(texts, seq, "doc long, seq binary, at array<int>", rows=BATCH), "sequences")
+    spent(docs.sparkSession, windows)
     members = _members(seqs, p)
-    # one row for each class of equal surroundings; then only groups of several documents
-    classes = members.groupBy("key", "same").agg(F.min(F.struct("doc", "at", "left", "right")).alias("r"), F.max("doc").alias("hi"))
-    classes = written(classes.select("key", "same", F.col("r.doc").alias("lo"), "hi", "r.at", "r.left", "r.right"), "classes")
-    groups = classes.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).where("n > 1 AND a <> b")
-    reps = classes.join(groups.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("shuffle_hash"), "key")
-    reps = reps.groupBy(F.col("lo").alias("doc")).agg(F.collect_list(F.struct("key", "same", "lo", "hi", "blocks", "at")).alias("m"))
+    # one row for each class of equal surroundings, in the groups of either context; then only groups of several documents
+    classes = members.groupBy("key", "same").agg(F.min(F.struct("doc", "at", "left", "right", "other")).alias("r"), F.max("doc").alias("hi"))
+    classes = written(classes.select("key", "r.other", "same", F.col("r.doc").alias("lo"), "hi", "r.at", "r.left", "r.right"), "classes")
+    spent(docs.sparkSession)
+    sides = classes.withColumn("of", F.explode(F.array(F.struct(F.col("key").alias("group"), F.col("other").alias("beside")), F.struct(F.col("other").alias("group"), F.col("key").alias("beside")))))
+    sides = sides.where("of.group IS NOT NULL").select("of.*", "key", "same", "lo", "hi", "at")
+    groups = _groups(sides)
+    spent(docs.sparkSession)
+    reps = sides.drop("beside").join(groups.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("shuffle_hash"), "group")
+    reps = reps.groupBy(F.col("lo").alias("doc")).agg(F.collect_list(F.struct("group", "key", "same", "lo", "hi", "blocks", "at")).alias("m"))
+    reps = written(reps, "representatives")
+    spent(docs.sparkSession)
     views = _views(reps.hint("shuffle_hash").join(seqs.select("doc", "seq"), "doc").select("doc", "seq", "m"), p)
     own = F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")
     each = views.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "same", "lo", "hi", "view")
+    each = each.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", "same", "lo", "hi", "view")
     near = written(each.repartition("g").sortWithinPartitions("g").mapInArrow(_meet(p), "key long, same long, lo long, s int, e int, m long, keep boolean"), "near")
+    spent(docs.sparkSession)
     # stretches of one word differ in length: e = -1 stands for each member's own end
     one, long = F.col("left") == -1, F.col("left") + F.col("right") + 1 >= p.least
     equal = classes.where((F.col("lo") != F.col("hi")) & (one | long)).select("key", "same", F.when(one, 0).otherwise(-F.col("left")).alias("s"), F.when(one, -1).otherwise(F.col("right")).alias("e"), F.col("lo").alias("m"))
@@ -601,6 +666,7 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found, links = passages(docs, p)
     found = written(found, "passages")
+    spent(docs.sparkSession)
     linked = components(found.where("m <> doc").select(F.col("m").alias("a"), F.col("doc").alias("b")).union(links)).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
     each = found.select("doc", "s", "e", (F.col("m") < F.col("doc")).alias("cut")).repartition("doc").sortWithinPartitions("doc", "s")
     merged = each.mapInArrow(_merged, "doc_id long, n_passages long, dup_words long, spans string, cut_spans string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,19 @@ def discard(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def spent(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes these tables, each one that ``written`` gave, once nothing reads them any more, and the shuffle files of all queries that are over: Spark keeps those until
+    the driver collects its garbage, which it is asked to do here."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file in [x for t in tables for x in t.inputFiles()[:1]]:
+        for made in [x for x in _made if x.rpartition("/")[2] == file.split("/")[-2]]:
+            _made.remove(made)
+            path = jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: it cuts the lineage, is computed once, and outlives executors."""
     spark = df.sparkSession

@@ -1,14 +1,17 @@
 """Near-duplicates, passages, vectors and components against brute force; the pipeline stage by stage."""
 
 import random
+import time
 from collections import defaultdict
+from itertools import accumulate, chain
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, neardup, passages, vecdup
+from tessera.llm import ann, neardup, passages, shared, vecdup
 from tessera.llm.components import components
+from tessera.llm.shared import split_words
 
 
 def union(pairs):
@@ -320,6 +323,79 @@ def test_passages_beside_fragments(docs, monkeypatch, block):
     assert got == {72 + i: (72 + i - i % 2, "60:115", "60:115" if i % 2 else "") for i in range(12)}
 
 
+def test_word_hashes():
+    """The words of ``split_words``, whatever their length and wherever a slice begins; equal hashes are of equal words only."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    odd = [None, "", " ", "A b\tc\nd\x0be\x0cf\rg\x1ch", "a\x00 a", "Ä ä Z z " + "x" * 64 + " " + "Y" * 65, "last", "first", None]
+    texts = odd + [" ".join("aB"[rng.random() < 0.5] * rng.choice((1, 7, 8, 9, 16, 17, 63, 64, 65, 200)) + rng.choice("cd") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    word, value = {}, {}
+    for first in (0, 3, 8, len(texts)):
+        h, to = passages.word_hashes(pa.array(texts, pa.string()).slice(first))
+        words = [split_words(t) for t in texts[first:]]
+        assert to.tolist() == list(accumulate(len(w) for w in words))
+        assert all(value.setdefault(w, x) == x and word.setdefault(x, w) == w for w, x in zip(chain.from_iterable(words), h.tolist(), strict=True))
+        s, ends = passages.sequences(pa.array(texts, pa.string()).slice(first), 5)
+        assert np.diff(ends, prepend=0).tolist() == [max(0, len(w) - 4) for w in words] and len(s) == sum(max(0, len(w) - 4) for w in words)
+    assert len(word) > 20
+
+
+def test_groups_within_others(spark):
+    """Groups that lie within another one are left out; classes that meet in any group still meet in one that stays."""
+    rng = random.Random(11)
+    classes = [(k := rng.randrange(40), 100 + (k // 4 if rng.random() < 0.9 else rng.randrange(12)) if rng.random() < 0.8 else None, rng.randrange(90)) for _ in range(200)]
+    classes += [(50, 150, 1), (50, 150, 2), (51, 151, 1), (51, 151, 2), (51, None, 3), (52, 152, 7), (52, 152, 7), (53, None, 4), (53, None, 5)]
+    rows = [(g, b, d, d) for k, o, d in classes for g, b in ((k, o), (o, k)) if g is not None]
+    members = defaultdict(set)
+    for i, (k, o, _) in enumerate(classes):
+        for g in (k, o):
+            members[g].add(i)
+    alive = {g for g, own in members.items() if g is not None and len({classes[i][2] for i in own}) > 1}
+    kept = {r["group"]: r["n"] for r in passages._groups(spark.createDataFrame(rows, "group long, beside long, lo long, hi long")).collect()}
+    meet = lambda groups: {(i, j) for g in groups for i in members[g] for j in members[g] if i < j}
+    assert kept == {g: len(members[g]) for g in kept} and meet(kept) == meet(alive) and len(kept) < len(alive) - 10
+    assert kept.keys() & {50, 150, 51, 151, 52, 152, 53} == {50, 51, 53}
+
+
+def test_passages_take_little_disk(spark, docs, monkeypatch, tmp_path):
+    """Of long documents only what surrounds shared windows takes room, and what is over goes: the table of windows, and the shuffle files."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60_000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    d = [text(3000) for _ in range(60)]
+    for i in range(30):
+        d[i][1500:1500] = d[i + 30][900:900] = text(60)
+
+    def left():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(x.length() for x in map(files.apply, range(files.size())) if x.getName().startswith("shuffle_"))
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = passages.repeated_passages(docs(*(" ".join(x) for x in d)))
+    until = time.monotonic() + 20  # Spark deletes them in a thread of its own
+    while left() > 200_000 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert left() <= 200_000
+    got = {r["doc_id"]: (r["spans"], r["cut_spans"], r["component_id"]) for r in found.collect()}
+    assert got == {i: ("1500:1560", "", i) if i < 30 else ("900:960", "900:960", i - 30) for i in range(60)}
+    size = {p.name.split("-")[0]: sum(f.stat().st_size for f in p.glob("*.parquet")) for p in tmp_path.iterdir()}
+    assert "windows" not in size and 0 < size["sequences"] < 0.25 * 4 * 60 * 3056
+
+
+def test_passages_of_repeated_ids(docs):
+    """A short text and a long one by the same id: what is shared far in the long one says nothing of the texts that come after the short one."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(60_000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    long = [text(3000) for _ in range(40)]
+    for i in range(0, 40, 2):
+        long[i][2000:2000] = long[i + 1][1193 + 7 * (i + 1) : 1193 + 7 * (i + 1)] = text(60)
+    rows = [(i, x) for i in range(40) for x in (long[i], text(60))]
+    got = {r["doc_id"]: (r["spans"], r["component_id"]) for r in passages.repeated_passages(docs(*(" ".join(x) for _, x in rows), ids=[i for i, _ in rows]).repartition(1)).collect()}
+    assert got == {i: (f"{1193 + 7 * i}:{1253 + 7 * i}", i - 1) if i % 2 else ("2000:2060", i) for i in range(40)}
+
+
 def vectors(spark, rng, n=400):
     base = rng.standard_normal((40, 16))
     x = [base[i % 40] + rng.standard_normal(16) * 0.02 * (i % 7) for i in range(n)]
