@@ -150,3 +150,50 @@ def test_properties_and_connections():
     p = flow.properties("# c\n! c\na = 1\nb: two \\\n  words\nc\n con.db.type = jdbc\ncon.db.url=jdbc:x=y\n")
     assert p == {"a": "1", "b": "two words", "c": "", "con.db.type": "jdbc", "con.db.url": "jdbc:x=y"}
     assert flow.connections(p) == {"db": tables.Connection("db", "jdbc", {"url": "jdbc:x=y"})}
+
+
+_CLUSTER = """
+import importlib.util, os, sys, tempfile
+from pathlib import Path
+
+home = tempfile.mkdtemp()
+for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():  # the executors' folders go to work in Spark's home
+    if p.name != "work":
+        os.symlink(p, f"{home}/{p.name}")
+os.mkdir(f"{home}/work")
+os.environ |= {"SPARK_HOME": home, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+from pyspark.sql import SparkSession
+from tessera.query_sources import jdbc_round_trip
+
+conf = {"spark.master": "local-cluster[1,1,1024]", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{home}/shared", "spark.sql.shuffle.partitions": "1"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.range(25).selectExpr("CAST(id AS INT) n_nationkey", "CONCAT('N', id) n_name", "CAST(id % 5 AS INT) n_regionkey").write.parquet(f"{home}/d/nation.parquet")
+print("rows", sorted(r.n_nationkey for r in jdbc_round_trip(spark, f"{home}/d").collect()), flush=True)
+os._exit(0)
+"""
+
+
+def test_embedded_database_where_executors_are_other_processes():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", _CLUSTER], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300).stdout
+    assert f"rows {sorted([*range(25), *range(1, 25, 5)])}" in out
+
+
+def test_embedded_database_keeps_types_and_modes(spark):
+    own = tables.Connection("derby", "jdbc", {"url": "jdbc:derby:memory:kinds;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "batchsize": "7"})
+    kinds = ("id n", "CAST(id AS INT) i", "id + 5000000000 l", "id / 3 d", "CAST(id AS FLOAT) f", "CAST(id / 4 AS DECIMAL(12, 2)) m", "CONCAT('é', id) s", "id % 2 = 0 b", "CAST(CONCAT('x', id) AS BINARY) y", "DATE'1969-12-30' + CAST(id AS INT) t", "TIMESTAMP'2024-02-29 12:34:56.123456' z")
+    df = spark.range(20).selectExpr(kinds[0], *(f"CASE WHEN id % 6 <> 4 THEN {k.rpartition(' ')[0]} END {k.rpartition(' ')[2]}" for k in kinds[1:]))
+    tables.write_jdbc(df, own, "kinds")
+    found = tables.jdbc_table(spark, own, "kinds").toDF(*df.columns)
+    assert found.dtypes == df.dtypes and sorted(found.collect(), key=lambda r: r.n) == sorted(df.collect(), key=lambda r: r.n)
+    tables.write_jdbc(df.limit(3), own, "kinds", "ignore")
+    tables.write_jdbc(df.limit(3), own, "kinds", "append")
+    assert tables.jdbc_table(spark, own, "kinds").count() == 23
+    with pytest.raises(Exception, match="already exists"):
+        tables.write_jdbc(df, own, "kinds")
+    tables.write_jdbc(df.where("n < 2"), own, "kinds", "overwrite")
+    assert tables.jdbc_table(spark, own, "kinds").count() == 2
