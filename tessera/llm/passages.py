@@ -41,6 +41,7 @@ from tessera.llm.components import components
 from tessera.llm.shared import map_arrow, mix64, shingles, spent, written
 
 WIDTH, WORDS, BATCH, BLOCK, SMALL, PAIRS, LONG = 5, 50, 512, 4096, 32, 20_000, 64
+AT_ONCE = 3000  # pairs whose views and what is made of them stay near the processor
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
 _NONE = 0xFFFFFFFF
@@ -321,7 +322,8 @@ def _resync(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, p: Shape
     start = equal & (width[:, None] + width <= p.gap)
     start[:, 1:, 1:] &= ~equal[:, :-1, :-1]  # a later start of the same run breaks more and gives less
     row, x, y = np.unravel_index(np.flatnonzero(start), start.shape)
-    row, length, offsets = some[row], np.zeros(len(row), np.int64), np.arange(end)
+    row, length = some[row], np.zeros(len(row), np.int64)
+    offsets = np.arange(end - min(int((i[row] + x).min()), int((j[row] + y).min())) if len(row) else 0)  # none is equal beyond the end
     for at in range(0, len(row), PAIRS):
         of = slice(at, at + PAIRS)
         u, v = (z[row[of, None], np.minimum((k[row[of]] + g[of])[:, None] + offsets, end)] for z, k, g in ((a, i, x), (b, j, y)))
@@ -499,8 +501,8 @@ def _large_group(view: np.ndarray, lo: np.ndarray, hi: np.ndarray, equal: tuple[
         i, j = i + start, j + start
         several = (lo[i] != lo[j]) | (hi[i] != lo[i]) | (hi[j] != lo[j])
         i, j = i[several], j[several]
-        for at in range(0, len(i), PAIRS):
-            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+        for at in range(0, len(i), AT_ONCE):
+            a, b = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
             kind, sa, ea, sb, eb = near_passages(view[a], view[b], p)
             k = np.flatnonzero(kind == 1)  # equal runs are there already
             a, b, sa, ea, sb, eb = (x[k] for x in (a, b, sa, ea, sb, eb))
@@ -542,8 +544,8 @@ def _meet(p: Shape):
             out.extend([(i[k], sa[k], ea[k], lo[j[k]]), (j[k], sb[k], eb[k], lo[i[k]])])
 
         for i, j in _pairs_of(size[group], np.arange(len(g)) - first[group], size[group] <= SMALL):
-            for at in range(0, len(i), PAIRS):
-                compare(i[at : at + PAIRS], j[at : at + PAIRS])
+            for at in range(0, len(i), AT_ONCE):
+                compare(i[at : at + AT_ONCE], j[at : at + AT_ONCE])
         row = out[0][0]
         for k in np.flatnonzero(size > SMALL):
             of = slice(first[k], first[k] + size[k])

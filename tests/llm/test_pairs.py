@@ -271,6 +271,20 @@ def test_large_groups_compare_all_pairs(monkeypatch, several):
     assert effects() == some
 
 
+def test_pairs_are_compared_in_small_batches(monkeypatch):
+    """Batches beyond the processor's caches took up to twice the time; how many are compared at once changes nothing."""
+    p, rng, sizes, compare = passages.Shape(), np.random.default_rng(5), [], passages.near_passages
+    base = rng.integers(1, 1 << 31, 2 * p.sight + 1).astype(np.uint32)
+    view = np.stack([np.where(np.abs(np.arange(len(base)) - p.sight - rng.integers(15, 60) * rng.choice([-1, 1])) < 3, rng.integers(1, 1 << 31, len(base)), base) for _ in range(120)]).astype(np.uint32)
+    monkeypatch.setattr(passages, "near_passages", lambda a, b, p: sizes.append(len(a)) or compare(a, b, p))
+    lo = np.arange(120)
+    found = list(passages._large_group(view, lo, lo, passages._equal_runs(view, np.zeros(120, np.int64), lo, lo, p), p))
+    assert len(found) and sum(sizes) > passages.AT_ONCE >= max(sizes)
+    i, j = np.triu_indices(120, 1)
+    once, parts = compare(view[i], view[j], p), [compare(view[i[at : at + 700]], view[j[at : at + 700]], p) for at in range(0, len(i), 700)]
+    assert once[0].any() and all(np.array_equal(x, np.concatenate(y)) for x, y in zip(once, zip(*parts, strict=True), strict=True))
+
+
 def test_bridges_between_near_passages(docs):
     """Two clusters of passages of 58 words that differ in one word each. Only two passages of 50 words link them, which are near each other and all of their own cluster."""
     rng = random.Random(8)
